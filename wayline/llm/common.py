@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
@@ -146,12 +146,12 @@ class Words:
     after each), ``hash`` a 64-bit hash of the word's bytes, A-Z folded to a-z.
     The words of text i are ``first[i]`` up to ``first[i + 1]``."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], between: np.ndarray = WHITE):
         joined = b"\n".join([*texts, b""])
         self.data = np.frombuffer(joined, np.uint8)
         lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.offset = np.concatenate([[0], np.cumsum(lengths)])
-        white = WHITE[self.data]
+        white = between[self.data]
         edge = np.flatnonzero(white[1:] != white[:-1]) + 1
         if len(white) and not white[0]:
             edge = np.concatenate([[0], edge])
@@ -171,6 +171,27 @@ def joint_hash(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def remainder(doc_id: Column, divisor: int) -> Column:
+    """crc32 of the id as text, modulo ``divisor``; null for a null id."""
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(divisor))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, out: int, bounds: dict[int, int]) -> DataFrame:
+    """(doc_id, text, label) of at most ``bounds[v]`` documents labelled v, whose remainder is not ``out``.
+
+    The sample is the rows with the smallest hashes, so it is the same in each
+    run; an id with several labels takes the smallest. The ids, bounded by the
+    bounds, are broadcast to the documents."""
+    one = labels.where(labels["doc_id"].isNotNull() & labels[label].isNotNull()).groupBy(labels["doc_id"].cast("long").alias("sample_id")).agg(F.min(labels[label]).cast("int").alias("label"))
+    one = one.where(remainder(F.col("sample_id"), divisor) != out)
+    parts = [one.where(F.col("label") == v).orderBy(F.xxhash64("sample_id"), "sample_id").limit(n) for v, n in bounds.items()]
+    ids = parts[0]
+    for more in parts[1:]:
+        ids = ids.unionByName(more)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    return rows.join(F.broadcast(ids), rows["doc_id"] == ids["sample_id"]).select("doc_id", "text", "label")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
