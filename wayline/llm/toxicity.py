@@ -1,8 +1,8 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling.
 
 A text is a row of words (runs of letters and digits, A-Z folded). A word's
-input joins a hashed word embedding, the mean of hashed embeddings of its
-four-byte character sequences, and how over-represented the worst of these is
+input joins a word embedding, the mean of the embeddings of its four-byte
+character sequences, and how over-represented the worst of these is
 in toxic documents. Windows of WINDOW words, each overlapping the next by
 half, run through a gated recurrent unit in both directions; attention pools
 the states, one output unit gives the window's logit. A document's logit is
@@ -32,12 +32,17 @@ from pyspark.sql import functions as F
 
 from .common import WHITE, Words, labelled_sample, remainder, text_blocks
 
-SAMPLE = {0: 2500, 1: 1200}
+SAMPLE = {0: 1800, 1: 900}
 THRESHOLD = 0.7
 HELD_OUT = (3, 1)
 WINDOW, STEP = 24, 12
-WORD_BITS, CHAR_BITS = 16, 16
+CHAR_BITS = 20  # of the codes of character sequences
+MIN_TEXTS = 3  # in so many texts of the sample a word or sequence must stand to get a row of its own
 WORD_DIM, CHAR_DIM, HIDDEN = 6, 4, 6
+STEPS, BATCH = 120, 192
+REPEATS = 400  # windows added to the sample
+CHANCE = 3.0  # deviations that counts of many words reach by themselves
+TABLE_RATE = 0.05  # embedding tables learn slower than the network, as each row sees few texts
 
 _BETWEEN = WHITE.copy()
 _BETWEEN[[b for b in range(128) if not chr(b).isalnum()]] = True
@@ -51,10 +56,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """Distinct words of some texts: word buckets, buckets of each one's character sequences, and which word stands where."""
+    """Distinct words of some texts: hashes, codes of each one's character sequences, and which word stands where.
 
-    bucket: np.ndarray
-    grams: np.ndarray  # buckets of all character sequences, word after word
+    A network's ``index`` turns hashes and codes into rows of its tables."""
+
+    word: np.ndarray
+    grams: np.ndarray  # of all character sequences, word after word
     cuts: np.ndarray  # where each word's sequences begin, and the end
     which: np.ndarray  # the distinct word at each place of the texts
     first: np.ndarray  # first place of each text
@@ -70,7 +77,7 @@ def vocabulary(texts: list[bytes]) -> Vocabulary:
     gram = data[place] * np.uint32(0x9E3779B1) + data[place + 1] * np.uint32(0x85EBCA6B) + data[place + 2] * np.uint32(0xC2B2AE35) + data[place + 3] * np.uint32(0x27D4EB2F)
     gram ^= gram >> np.uint32(15)
     gram *= np.uint32(0x2C1B3C6D)
-    return Vocabulary((distinct >> np.uint64(64 - WORD_BITS)).astype(np.int64), (gram >> np.uint32(32 - CHAR_BITS)).astype(np.int64), cuts, which, w.first)
+    return Vocabulary(distinct, (gram >> np.uint32(32 - CHAR_BITS)).astype(np.int64), cuts, which, w.first)
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,9 +93,11 @@ def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Network:
-    word: np.ndarray  # (buckets, WORD_DIM)
-    char: np.ndarray  # (buckets, CHAR_DIM)
-    gram_excess: np.ndarray  # (buckets,), fixed
+    known: np.ndarray  # sorted hashes of the words with rows; row 0 is for all others
+    gram_row: np.ndarray  # row of each code; 0 for all others
+    word: np.ndarray  # (rows, WORD_DIM)
+    char: np.ndarray  # (rows, CHAR_DIM)
+    gram_excess: np.ndarray  # (rows,), fixed
     w: np.ndarray  # (WORD_DIM + CHAR_DIM + 1, 6 * HIDDEN): update, reset, candidate; forward then backward
     b: np.ndarray
     u: np.ndarray  # (2, HIDDEN, 3 * HIDDEN)
@@ -99,12 +108,18 @@ class Network:
 
     NAMES = ("word", "char", "w", "b", "u", "attend", "out", "bias")
 
+    def index(self, v: Vocabulary) -> Vocabulary:
+        at = np.searchsorted(self.known, v.word)
+        at[at == len(self.known)] = 0
+        rows = np.where(self.known[at] == v.word, at + 1, 0) if len(self.known) else np.zeros(len(v.word), np.int64)
+        return Vocabulary(rows, self.gram_row[v.grams], v.cuts, v.which, v.first)
+
     def inputs(self, v: Vocabulary) -> np.ndarray:
-        if not len(v.bucket):
+        if not len(v.word):
             return np.zeros((0, WORD_DIM + CHAR_DIM + 1), np.float32)
         sums = np.add.reduceat(self.char[v.grams], v.cuts[:-1], axis=0)
         worst = np.maximum.reduceat(self.gram_excess[v.grams], v.cuts[:-1])
-        return np.concatenate([self.word[v.bucket], sums / np.diff(v.cuts)[:, None].astype(np.float32), worst[:, None]], 1)
+        return np.concatenate([self.word[v.word], sums / np.diff(v.cuts)[:, None].astype(np.float32), worst[:, None]], 1)
 
     def run(self, gates: np.ndarray, there: np.ndarray, keep: bool = False):
         """Logits of windows. ``gates``: (WINDOW, 2, n, 3H) inputs of the gates, the second direction reversed; ``there``: (WINDOW, 2, n, 1)."""
@@ -164,7 +179,7 @@ class Network:
 
     def texts(self, texts: list[bytes]) -> np.ndarray:
         """The largest logit of each text's windows."""
-        v = vocabulary(texts)
+        v = self.index(vocabulary(texts))
         place, of = windows(v.first)
         logit = self.logits(v, place)
         return np.maximum.reduceat(logit, np.searchsorted(of, np.arange(len(texts)))) if len(texts) else np.zeros(0)
@@ -172,15 +187,24 @@ class Network:
     def probability(self, logit: np.ndarray) -> np.ndarray:
         return _sigmoid(self.scale[0] * logit.astype(np.float64) + self.scale[1])
 
-    def gradients(self, v: Vocabulary, place: np.ndarray, y: np.ndarray, weight_y: np.ndarray) -> dict[str, np.ndarray]:
+    def adam(self, g: dict, m: dict, s: dict, step: int, rate: float) -> None:
+        """One step; of the embedding tables only the rows that have a gradient move."""
+        for k in self.NAMES:
+            rows, x = g[k] if isinstance(g[k], tuple) else (slice(None), g[k])
+            m[k][rows] += 0.1 * (x - m[k][rows])
+            s[k][rows] += 0.01 * (x**2 - s[k][rows])
+            move = rate * (TABLE_RATE if isinstance(g[k], tuple) else 1) * (m[k][rows] / (1 - 0.9**step)) / (np.sqrt(s[k][rows] / (1 - 0.99**step)) + 1e-7)
+            getattr(self, k)[rows] -= move.astype(np.float32)
+
+    def gradients(self, v: Vocabulary, place: np.ndarray, y: np.ndarray, weight_y: np.ndarray) -> dict:
         """Of the weighted mean cross-entropy, by back-propagation through time."""
         h, h3 = HIDDEN, 3 * HIDDEN
-        words = np.unique(v.which[place[place >= 0]])
-        small = np.full(len(v.bucket), 0)
-        small[words] = np.arange(len(words))
-        sub = Vocabulary(v.bucket[words], *_pick(v, words), v.which, v.first)
+        there_at = place >= 0
+        words, small = np.unique(np.where(there_at, v.which[place], v.which[place[there_at][0]]), return_inverse=True)
+        small = small.reshape(place.shape)
+        sub = Vocabulary(v.word[words], *_pick(v, words), words, v.first)
         x = self.inputs(sub)
-        gates, there = self.gather(x @ self.w + self.b, place, small[v.which])
+        gates, there = self.gather(x @ self.w + self.b, np.where(there_at, np.arange(place.size).reshape(place.shape), -1), small.ravel())
         logit, both, attention, pooled, kept = self.run(gates, there, keep=True)
         d = (weight_y * (_sigmoid(logit) - y) / len(y)).astype(np.float32)
         g = {"bias": np.array([d.sum()]), "out": pooled.T @ d}
@@ -207,20 +231,25 @@ class Network:
             g["u"] += state.transpose(0, 2, 1) @ into
             carry = np.where(live, dn * update + into @ back, total)
         flat = np.zeros((len(words), 2 * h3), np.float32)
-        word = small[np.where(place >= 0, v.which[place], words[0] if len(words) else 0)].T
-        ok = (place >= 0).T
+        word, ok = small.T, there_at.T
         for direction, order in ((0, slice(None)), (1, slice(None, None, -1))):
             dg = d_gates[:, direction][order]
             np.add.at(flat[:, direction * h3 : (direction + 1) * h3], word[ok], dg[ok])
         g["w"], g["b"] = x.T @ flat, flat.sum(0)
         dx = flat @ self.w.T
-        g["word"], g["char"] = np.zeros_like(self.word), np.zeros_like(self.char)
-        np.add.at(g["word"], sub.bucket, dx[:, :WORD_DIM])
         sizes = np.diff(sub.cuts)
-        np.add.at(g["char"], sub.grams, np.repeat(dx[:, WORD_DIM:-1] / np.maximum(sizes, 1)[:, None], sizes, axis=0))
+        g["word"] = _by_row(sub.word, dx[:, :WORD_DIM])
+        g["char"] = _by_row(sub.grams, np.repeat(dx[:, WORD_DIM:-1] / np.maximum(sizes, 1)[:, None], sizes, axis=0))
         return g
 
 
+def _by_row(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that have a gradient, and its sum for each."""
+    order = np.argsort(rows, kind="stable")
+    distinct, at = np.unique(rows[order], return_index=True)
+    return distinct, np.add.reduceat(g[order], at, axis=0)
+
+
 def _pick(v: Vocabulary, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(v.cuts)[words]
     cuts = np.concatenate([[0], np.cumsum(sizes)])
@@ -228,66 +257,76 @@ def _pick(v: Vocabulary, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v.grams[place], cuts
 
 
-def over_represented(pairs: np.ndarray, label: np.ndarray, bits: int) -> np.ndarray:
-    """Of each bucket: by how many standard deviations its number of toxic texts is above chance, a third of it.
+def over_represented(numbers: np.ndarray, text: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Of each number: a third of the standard deviations, over CHANCE, that its count of toxic texts is above chance.
 
-    ``pairs``: distinct text numbers, shifted by ``bits``, with a bucket each."""
-    bucket, text = pairs & ((1 << bits) - 1), pairs >> bits
-    both = np.bincount(bucket, minlength=1 << bits)
-    toxic = np.bincount(bucket[label[text] > 0], minlength=1 << bits)
+    ``numbers`` and ``text``: distinct pairs."""
+    both = np.bincount(numbers)
+    toxic = np.bincount(numbers[label[text] > 0], minlength=len(both))
     share = label.mean()
     excess = (toxic - both * share) / np.sqrt(both * share * (1 - share) + 1)
-    return (np.clip(excess, -3, 9) / 3).astype(np.float32)
+    return (np.clip(excess - CHANCE, 0, 9) / 3).astype(np.float32)
 
 
-def fresh(excess: np.ndarray, gram_excess: np.ndarray, seed: int = 7) -> Network:
+def fresh(known: np.ndarray, excess: np.ndarray, codes: np.ndarray, gram_excess: np.ndarray, seed: int = 7) -> Network:
     """Random weights; the first word dimension starts as how over-represented the word is in toxic documents."""
     rng = np.random.default_rng(seed)
     draw = lambda *shape, by: (rng.standard_normal(shape) * by).astype(np.float32)
-    word = draw(1 << WORD_BITS, WORD_DIM, by=0.05)
-    word[:, 0] = excess
+    word = draw(len(known) + 1, WORD_DIM, by=0.05)
+    word[:, 0] = np.concatenate([[0], excess])
+    gram_row = np.zeros(1 << CHAR_BITS, np.int32)
+    gram_row[codes] = np.arange(1, len(codes) + 1)
     h = HIDDEN
     b = np.zeros(6 * h, np.float32)
     b[:h] = b[3 * h : 4 * h] = 0.5
-    return Network(word, draw(1 << CHAR_BITS, CHAR_DIM, by=0.1), gram_excess, draw(WORD_DIM + CHAR_DIM + 1, 6 * h, by=0.4), b, draw(2, h, 3 * h, by=0.3), draw(2 * h, by=0.3), draw(2 * h, by=0.3), np.array([-2.0], np.float32))
+    char, worst = draw(len(codes) + 1, CHAR_DIM, by=0.1), np.concatenate([[0], gram_excess]).astype(np.float32)
+    return Network(known, gram_row, word, char, worst, draw(WORD_DIM + CHAR_DIM + 1, 6 * h, by=0.4), b, draw(2, h, 3 * h, by=0.3), draw(2 * h, by=0.3), draw(2 * h, by=0.3), np.array([-2.0], np.float32))
 
 
-def _sketch(buckets: np.ndarray) -> int:
-    low = np.unique(buckets * 0x9E3779B1 & 0xFFFFFFFF)[:3]
+def _sketch(words: np.ndarray) -> int:
+    low = np.unique(words)[:3]
     return hash(tuple(low.tolist()))
 
 
-def fit(texts: list[bytes], label: np.ndarray, rounds: int = 3, seed: int = 7) -> Network:
+def fit(texts: list[bytes], label: np.ndarray, rounds: int = 2, seed: int = 7) -> Network:
     label = np.asarray(label)
     if len(label) == 0 or label.min() == label.max():
         share = float(label.mean()) if len(label) else 0.0
-        net = fresh(np.zeros(1 << WORD_BITS, np.float32), np.zeros(1 << CHAR_BITS, np.float32))
+        none = np.zeros(0, np.float32)
+        net = fresh(none.astype(np.uint64), none, none.astype(np.int64), none)
         net.scale = np.array([0.0, 30.0 if share == 1 else -30.0])
         return net
     rng = np.random.default_rng(seed)
     v = vocabulary(texts)
+    # near copies count once: texts whose smallest word hashes agree
+    once = np.unique([_sketch(v.word[v.which[v.first[i] : v.first[i + 1]]]) for i in range(len(texts))], return_index=True)[1]
+    some = np.zeros(len(texts), bool)
+    some[once] = True
+    n = max(len(v.word), 1)
+    pair = np.unique(np.repeat(np.arange(len(texts)), np.diff(v.first)) * n + v.which)
+    pair = pair[some[pair // n]]
+    text, word = pair // n, pair % n
+    excess = over_represented(word, text, label) if len(word) else np.zeros(0, np.float32)
+    often = np.flatnonzero(np.bincount(word, minlength=len(v.word)) >= MIN_TEXTS)
+    size = np.diff(v.cuts)[word]
+    place = np.repeat(v.cuts[:-1][word] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    grams = np.unique(np.repeat(text, size) << CHAR_BITS | v.grams[place])
+    code = grams & ((1 << CHAR_BITS) - 1)
+    gram_excess = over_represented(code, grams >> CHAR_BITS, label) if len(code) else np.zeros(0, np.float32)
+    codes = np.flatnonzero(np.bincount(code) >= MIN_TEXTS)
+    net = fresh(v.word[often], excess[often], codes, gram_excess[codes], seed)
+    v = net.index(v)
     place, of = windows(v.first)
-    bucket = v.bucket[v.which]
-    text_of = np.repeat(np.arange(len(texts)), np.diff(v.first))
-    # near copies count once: texts whose smallest word numbers agree
-    once = np.unique([_sketch(v.bucket[v.which[v.first[i] : v.first[i + 1]]]) for i in range(len(texts))], return_index=True)[1]
-    counted = np.zeros(len(texts), bool)
-    counted[once] = True
-    words = np.unique(text_of << WORD_BITS | bucket)
-    used = np.unique(text_of * len(v.bucket) + v.which)
-    size = np.diff(v.cuts)[used % max(len(v.bucket), 1)]
-    from_word = np.repeat(v.cuts[:-1][used % max(len(v.bucket), 1)] - np.cumsum(size) + size, size) + np.arange(size.sum())
-    grams = np.unique(np.repeat(used // max(len(v.bucket), 1), size) << CHAR_BITS | v.grams[from_word])
-    renumber = np.cumsum(counted) - 1
-    counts = []
-    for pairs, bits in ((words, WORD_BITS), (grams, CHAR_BITS)):
-        text = pairs >> bits
-        pairs = (renumber[text] << bits | pairs & ((1 << bits) - 1))[counted[text]]
-        counts.append(over_represented(pairs, label[counted], bits))
-    excess, gram_excess = counts
-    net = fresh(excess, gram_excess, seed)
-    worst_of = np.maximum(excess[v.bucket], np.maximum.reduceat(gram_excess[v.grams], v.cuts[:-1])) if len(v.bucket) else excess[:0]
+    worst_of = np.maximum(net.word[v.word, 0], np.maximum.reduceat(net.gram_excess[v.grams], v.cuts[:-1])) if len(v.word) else excess[:0]
     worst = np.where(place >= 0, worst_of[v.which[place]] if len(worst_of) else 0, -1).max(1)
+    # clean words said over and over, which few texts show, are windows of their own
+    spoken = np.flatnonzero(np.repeat(label == 0, np.diff(v.first)))
+    if len(spoken):
+        said = np.sort(rng.integers(0, 3, (REPEATS, WINDOW)), 1)
+        place = np.concatenate([place, np.take_along_axis(rng.choice(spoken, (REPEATS, 3)), said, 1)])
+        of = np.concatenate([of, np.full(REPEATS, np.flatnonzero(label == 0)[0])])
+    extra = np.arange(len(place) - (REPEATS if len(spoken) else 0), len(place))
+    worst = np.concatenate([worst, np.zeros(len(extra))])
     bad = label[of] > 0
     m = {k: np.zeros_like(getattr(net, k)) for k in net.NAMES}
     s = {k: np.zeros_like(getattr(net, k)) for k in net.NAMES}
@@ -295,26 +334,25 @@ def fit(texts: list[bytes], label: np.ndarray, rounds: int = 3, seed: int = 7) -
     for r in range(rounds):
         by_text = np.full(len(texts), -np.inf)
         np.maximum.at(by_text, of, worst)
-        chosen = np.flatnonzero(bad & (worst >= by_text[of] - 1e-6)) if r == 0 else np.flatnonzero(bad & ((worst >= by_text[of] - 1e-6) & (worst > -2) | (worst > 1)))
+        chosen = np.flatnonzero(bad & (worst >= by_text[of] - 1e-6))
+        chosen = rng.choice(chosen, min(len(chosen), int(bad[chosen].sum())), replace=False)
         clean = np.flatnonzero(~bad)
-        hard = clean[np.argsort(-worst[clean], kind="stable")[: 4 * len(chosen)]]
-        some = rng.choice(clean, min(len(clean), 12 * len(chosen) + 512), replace=False)
-        use = np.concatenate([chosen, hard, some])
-        y = np.concatenate([np.ones(len(chosen)), np.zeros(len(hard) + len(some))])
-        for _ in range(max(2, min(12, 120 * 256 // max(len(use), 1)))):
+        hard = clean[np.argsort(-worst[clean], kind="stable")[: 2 * len(chosen)]]
+        some = rng.choice(clean, min(len(clean), 4 * len(chosen) + 256), replace=False)
+        use = np.concatenate([chosen, hard, some, extra])
+        y = np.concatenate([np.ones(len(chosen)), np.zeros(len(hard) + len(some) + len(extra))])
+        for _ in range(max(3, min(16, STEPS * BATCH // max(len(use), 1)))):
             order = rng.permutation(len(use))
-            for at in range(0, len(order), 256):
-                take = order[at : at + 256]
-                g = net.gradients(v, place[use[take]], y[take], np.where(y[take] > 0, 4.0, 1.0))
+            for at in range(0, len(order), BATCH):
+                take = order[at : at + BATCH]
+                if (place[use[take]] < 0).all():
+                    continue
+                g = net.gradients(v, place[use[take]], y[take], np.where(y[take] > 0, 2.0, 1.0))
                 step += 1
-                rate = 0.01 if r + 1 < rounds else 0.004
-                for k in net.NAMES:
-                    m[k] += 0.1 * (g[k] - m[k])
-                    s[k] += 0.01 * (g[k] ** 2 - s[k])
-                    setattr(net, k, (getattr(net, k) - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32))
+                net.adam(g, m, s, step, 0.01 if r + 1 < rounds else 0.004)
         worst = net.logits(v, place)
     by_text = np.full(len(texts), -np.inf)
-    np.maximum.at(by_text, of, worst)
+    np.maximum.at(by_text, of[: extra[0]] if len(extra) else of, worst[: extra[0]] if len(extra) else worst)
     net.scale = _calibrate(by_text, label.astype(float))
     return net
 
