@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, quality, toxicity
+from . import exact_dedup, packing, pii, quality, toxicity
 from .common import documents, table
 
 
@@ -29,13 +29,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(documents(spark, sf_dir)))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op4_best_fit_packing, op5_exact_dedup, op7_toxicity, op10_quality_classifier]
+    named = [op4_best_fit_packing, op5_exact_dedup, op7_toxicity, op8_pii, op10_quality_classifier]
     return {f.__name__: f for f in named}
 
 
