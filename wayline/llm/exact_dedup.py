@@ -50,15 +50,20 @@ def maybe_repeated(rows: DataFrame, filled: DataFrame, bits: int) -> DataFrame:
     return tested.select(*rows.columns, maybe.alias("maybe"))
 
 
+def filter_bits(rows: DataFrame) -> tuple[int, int]:
+    """Number of rows, and the bits of a filter for so many."""
+    n, bits = rows.count(), _CELL
+    while bits < MAX_BITS and bits < n * BITS_PER_ROW:
+        bits *= 2
+    return n, bits
+
+
 def _digests(docs: DataFrame) -> tuple[DataFrame, int, int]:
     """(doc_id, text_sha256, h, rid) of every row, in the shared folder; rows; bits of the filter."""
     digest = F.sha2(normalized(docs["text"]).cast("binary"), 256)
     rows = docs.select(docs["doc_id"].alias("doc_id"), digest.alias("text_sha256"))
     rows = materialize(rows.withColumn("h", F.xxhash64("text_sha256")).withColumn("rid", F.monotonically_increasing_id()), "exact")
-    n, bits = rows.count(), _CELL
-    while bits < MAX_BITS and bits < n * BITS_PER_ROW:
-        bits *= 2
-    return rows, n, bits
+    return rows, *filter_bits(rows)
 
 
 def _groups(some: DataFrame) -> DataFrame:

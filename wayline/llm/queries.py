@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, pii, quality, toxicity
+from . import exact_dedup, packing, pii, quality, topk, toxicity, warc
 from .common import documents, table
 
 
@@ -16,6 +17,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    rows = vectors.select(vectors["vec_id"].cast("long").alias("id"), topk.integer_weights(vectors["embedding"]).alias("weights"))
+    return topk.search(rows, F.col("id") % 50 == 0)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
@@ -24,6 +31,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find(documents(spark, sf_dir))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -39,7 +51,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op4_best_fit_packing, op5_exact_dedup, op7_toxicity, op8_pii, op10_quality_classifier]
+    named = [op1_topk_search, op4_best_fit_packing, op5_exact_dedup, op6_warc, op7_toxicity, op8_pii, op10_quality_classifier]
     return {f.__name__: f for f in named}
 
 
@@ -52,5 +64,29 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
+_GROUPS = [f"CAST('0x' || substr(sha1(p), {5 * g + 1}, 5) AS BIGINT)" for g in range(8)]
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(({v} >> {s}) & 31 AS INTEGER) + 1, 1)" for v in _GROUPS for s in (15, 10, 5, 0))
+OP6_SQL = f"""
+WITH r AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+d AS (SELECT page_id, CAST(strlen(p) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest FROM r),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op6_warc": OP6_SQL, "op1_topk_search": OP1_SQL, "op5_exact_dedup": OP5_SQL}
