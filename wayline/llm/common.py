@@ -182,6 +182,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int
     The sample is the rows with the smallest hashes, so it is the same in each
     run; an id with several labels takes the smallest. The ids, bounded by the
     bounds, are broadcast to the documents."""
+    ship(docs.sparkSession)
     one = labels.where(labels["doc_id"].isNotNull() & labels[label].isNotNull()).groupBy(labels["doc_id"].cast("long").alias("sample_id")).agg(F.min(labels[label]).cast("int").alias("label"))
     one = one.where(remainder(F.col("sample_id"), divisor) != out)
     parts = [one.where(F.col("label") == v).orderBy(F.xxhash64("sample_id"), "sample_id").limit(n) for v, n in bounds.items()]

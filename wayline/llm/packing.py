@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .common import materialize, text_blocks
 
 CAPACITY = 2048
@@ -167,6 +168,7 @@ def _bins(items: list[tuple[list, int]], capacity: int, first: int, node: int) -
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int = SLACK, fan_in: int = FAN_IN) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    ship(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     level = materialize(rows.mapInArrow(pack_locally(tokenizer, capacity), BIN), "pack")
     done, depth = [], 0

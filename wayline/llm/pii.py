@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .common import WHITE, Words, attach, materialize, text_blocks
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -186,6 +187,7 @@ def disclosing(near: DataFrame, docs: DataFrame, n_docs: int, alpha: float = ALP
 
 def find(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, base and added spans (start, kind, end, removed) sorted by start and kind."""
+    ship(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     found = materialize(rows.mapInArrow(_find, _FOUND).withColumn("rid", F.monotonically_increasing_id()), "pii")
     n_docs = found.count()

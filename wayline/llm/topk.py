@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .common import materialize
 
 K = 5
@@ -129,6 +130,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score of the k best of the other rows for each row that ``is_query`` selects.
 
     ``vectors``: id, weights (array of bigint, null for rows that take no part)."""
+    ship(vectors.sparkSession)
     rows = vectors.where("id is not null and weights is not null").groupBy("id").agg(F.min("weights").alias("weights"))
     rows = materialize(rows.withColumn("dims", F.size("weights").cast("int")), "topk")
     n_groups = rows.count() // GROUP + 1

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .common import WHITE, Words, labelled_sample, remainder, text_blocks
 
 SAMPLE = {0: 1800, 1: 900}
@@ -378,6 +379,7 @@ def train(docs: DataFrame, labels: DataFrame, bounds: dict[int, int] = SAMPLE) -
 
 def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,6 +395,7 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFr
 def keep(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns, in one pass without a join."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
+    ship(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

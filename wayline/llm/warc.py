@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .common import attach, fresh_path, materialize
 from .exact_dedup import filter_bits, maybe_repeated, repeated_cells
 
@@ -188,6 +189,7 @@ def alternate(nth: int) -> int:
 
 def write(pages: DataFrame, path: str, when: str = "20080430204825") -> None:
     """Writes a WARC record of each page (page_id, url, html) to the archives under ``path``."""
+    ship(pages.sparkSession)
     payload = F.coalesce(pages["html"].cast("string"), F.lit(""))
     rows = materialize(pages.select(pages["page_id"].cast("long").alias("page_id"), F.sha1(payload).alias("digest")).withColumn("h", F.xxhash64("digest")), "warc-digests")
     n, bits = filter_bits(rows)
@@ -224,6 +226,7 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, date, payload_bytes, payload_digest, record_type, refers_to of every record in the archives."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(_read, "page_id bigint, url string, date string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
