@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, packing, pii, quality, topk, toxicity, warc
+from . import exact_dedup, jaccard, lines, packing, pii, quality, topk, toxicity, warc
 from .common import documents, table
 
 
@@ -27,6 +27,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir), width=3, share=90)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(documents(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
@@ -55,7 +59,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_topk_search, op2_jaccard_join, op4_best_fit_packing, op5_exact_dedup, op6_warc, op7_toxicity, op8_pii, op10_quality_classifier]
+    named = [op1_topk_search, op2_jaccard_join, op3_line_dedup, op4_best_fit_packing, op5_exact_dedup, op6_warc, op7_toxicity, op8_pii, op10_quality_classifier]
     return {f.__name__: f for f in named}
 
 
