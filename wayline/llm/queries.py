@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, lines, packing, pii, quality, topk, toxicity, warc
+from . import exact_dedup, jaccard, lines, mixing, packing, pii, quality, topk, toxicity, warc
 from .common import documents, table
 
 
@@ -53,13 +53,17 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(documents(spark, sf_dir)))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(mixing.fit(documents(spark, sf_dir), table(spark, sf_dir, "labels")))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_topk_search, op2_jaccard_join, op3_line_dedup, op4_best_fit_packing, op5_exact_dedup, op6_warc, op7_toxicity, op8_pii, op10_quality_classifier]
+    named = [op1_topk_search, op2_jaccard_join, op3_line_dedup, op4_best_fit_packing, op5_exact_dedup, op6_warc, op7_toxicity, op8_pii, op9_mixing, op10_quality_classifier]
     return {f.__name__: f for f in named}
 
 
