@@ -1 +1 @@
-
+"""Stored tables, and the plans that read as little of them as a query needs."""
