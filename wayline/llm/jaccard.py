@@ -12,7 +12,9 @@ Equal sets are one class and make signatures once. Sorted by signature, rows
 stream past; sets that share one with others are its members. Two rounds of
 exact verification follow, each without pairs of a whole group:
 
-1. every member against its signature's smallest set (a star);
+1. every member against one centre of its signature (a star): the set that
+   meets the most others over all its signatures, so that the text which near
+   copies were made from is asked for, not one of them;
 2. where a signature's members still lie in several components, the pairs
    across these, compared in blocks inside a task; only pairs that pass leave it.
 
@@ -127,7 +129,7 @@ class PartEnum:
 
     def sketch(self, members: np.ndarray) -> bytes:
         cells = 4
-        while cells < 4 * (int(self.allowed(np.int64(2 * len(members)))) + 1):
+        while cells < 8 * (int(self.allowed(np.int64(2 * len(members)))) + 1):
             cells *= 2
         cut = np.searchsorted(members, np.arange(1, cells, dtype=np.uint64) << np.uint64(64 - cells.bit_length() + 1))
         run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(splitmix(members + np.uint64(0x2545F4914F6CDD1D)))])
@@ -366,10 +368,16 @@ class Join:
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
-        members = self.members()
+        members = self.members().select("sig", "sid")
         nodes = self.classes.select("sid", "n", "sketch").join(members.select(F.col("sid").alias("_sid")).distinct(), F.col("sid") == F.col("_sid"), "left_semi")
         nodes = materialize(nodes, "jaccard-nodes")
-        star = materialize(members.where("center <> sid").select(F.col("center").alias("a"), F.col("sid").alias("b")).distinct(), "jaccard-star")
+        n_members = max(members.count(), 1)
+        sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
+        weight = attach(members, sizes, "sig", "size", n_members).groupBy(F.col("sid").alias("_sid")).agg(F.sum("size").alias("weight"))
+        weighted = materialize(members.join(weight, F.col("sid") == F.col("_sid")).select("sig", "sid", "weight"), "jaccard-weighted")
+        centers = weighted.groupBy("sig").agg(F.max(F.struct("weight", F.col("sid").alias("center"))).alias("c"), F.count(F.lit(1)).alias("size"))
+        centers = materialize(centers.select("sig", "size", "c.center"), "jaccard-centers")
+        star = attach(members, centers, "sig", "size", n_members).where("center <> sid").select(F.least("center", "sid").alias("a"), F.greatest("center", "sid").alias("b")).distinct()
         a, b = (nodes.select(F.col("sid").alias(f"_{k}"), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
         near = star.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b")).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
         links = self.links(materialize(near.mapInArrow(_passing(self.share), "a bigint, b bigint"), "jaccard-near"))
@@ -379,7 +387,7 @@ class Join:
         told = materialize(told, "jaccard-told")
         split = told.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi and size > 2")
         split = materialize(split.select("sig", "size"), "jaccard-split")
-        left = attach(told, split, "sig", "size", max(told.count(), 1)).where("size is not null")
+        left = attach(told, split, "sig", "size", n_members).where("size is not null")
         left = left.join(nodes.withColumnRenamed("sid", "_sid"), F.col("sid") == F.col("_sid")).drop("_sid")
         left = left.withColumn("blocks", F.expr(f"cast(ceil(size / {BLOCK}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(sid), blocks) as int)"))
         left = left.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
