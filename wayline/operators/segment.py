@@ -50,6 +50,15 @@ def fixed_size(points: DataFrame, k: int) -> DataFrame:
     return _with_last(own.unionByName(shared).groupBy("object_id", "seg_no").agg(_points().alias("pts")))
 
 
+def _share(a: Column, b: Column, low: float, width: Column):
+    """The share of the way from a to b at which grid line k is crossed."""
+    return lambda k: (F.lit(low) + k * width - a) / (b - a)
+
+
+def field(c: str):
+    return lambda p: p[c]
+
+
 def sub_edges(points: DataFrame, grid: Grid) -> DataFrame:
     """Edges cut where they cross grid lines: object_id, seq, sub, u0, u1, the edge's ends, and the ordinates of the cell of the part's middle.
 
@@ -57,18 +66,18 @@ def sub_edges(points: DataFrame, grid: Grid) -> DataFrame:
     axes = grid.axes()
     rows = edges(points)
     alone = points.join(rows.select(F.col("object_id").alias("_id")).distinct(), F.col("object_id") == F.col("_id"), "left_anti")
-    alone = alone.dropDuplicates(["object_id"]).select("object_id", F.lit(0).alias("seq"), *[F.col(c).alias(f"{c}{i}") for i in (0, 1) for c in ORDER])
-    rows = rows.unionByName(alone)
+    alone = alone.select("object_id", F.lit(0).alias("seq"), *[F.col(c).alias(f"{c}{i}") for i in (0, 1) for c in ORDER], F.lit(True).alias("alone"))
+    rows = rows.withColumn("alone", F.lit(False)).unionByName(alone)
     cuts = F.array(F.lit(0.0), F.lit(1.0))
     for i, (name, low, high) in enumerate(axes):
         a, b = F.col(f"{name}0").cast("double"), F.col(f"{name}1").cast("double")
         ga, gb = ordinate(a, grid, i), ordinate(b, grid, i)
         lines = F.when(ga != gb, F.sequence(F.least(ga, gb) + 1, F.greatest(ga, gb))).otherwise(F.expr("cast(array() as array<int>)"))
         width = F.lit((high - low) / grid.parts)
-        cuts = F.concat(cuts, F.transform(lines, lambda k, a=a, b=b, low=low, width=width: (F.lit(low) + k * width - a) / (b - a)))
+        cuts = F.concat(cuts, F.transform(lines, _share(a, b, low, width)))
     rows = rows.withColumn("cuts", F.array_sort(F.array_distinct(F.filter(cuts, lambda u: (u >= 0) & (u <= 1)))))
     parts = rows.select("*", F.posexplode(F.arrays_zip(F.expr("slice(cuts, 1, size(cuts) - 1)").alias("u0"), F.expr("slice(cuts, 2, size(cuts) - 1)").alias("u1"))).alias("sub", "u"))
-    parts = parts.select("object_id", "seq", "sub", "u.u0", "u.u1", *[f"{c}{i}" for i in (0, 1) for c in ORDER])
+    parts = parts.select("object_id", "seq", "sub", "alone", "u.u0", "u.u1", *[f"{c}{i}" for i in (0, 1) for c in ORDER])
     middle = (F.col("u0") + F.col("u1")) / 2
     names = ["gx", "gy", "gt"]
     cells = {names[i]: ordinate(F.col(f"{n}0").cast("double") + middle * (F.col(f"{n}1").cast("double") - F.col(f"{n}0").cast("double")), grid, i) for i, (n, _, _) in enumerate(axes)}
@@ -84,18 +93,17 @@ def clipped(points: DataFrame, grid: Grid) -> DataFrame:
     real points (first_pos, last_pos, null likewise) and ``n_total``, the
     object's points."""
     names = ["gx", "gy", "gt"][: grid.dims]
-    w = Window.partitionBy("object_id").orderBy("seq", "sub")
+    w, totals = Window.partitionBy("object_id").orderBy("seq", "sub"), Window.partitionBy("object_id")
     parts = sub_edges(points, grid)
     changed = F.coalesce(F.struct(*names) != F.lag(F.struct(*names)).over(w), F.lit(False))
     parts = parts.withColumn("seg_no", (F.sum(changed.cast("int")).over(w) + 1).cast("int"))
-    totals = Window.partitionBy("object_id")
-    parts = parts.withColumn("n_total", F.max("seq").over(totals) + F.when((F.max("seq").over(totals) == 0) & F.min((F.col("t0") == F.col("t1")) & (F.col("x0") == F.col("x1")) & (F.col("y0") == F.col("y1"))).over(totals) & (F.max("sub").over(totals) == 0), F.lit(1)).otherwise(F.lit(2)))
+    parts = parts.withColumn("n_total", (F.max("seq").over(totals) + F.when(F.col("alone"), 1).otherwise(2)).cast("bigint"))
 
     def at(u: str) -> Column:
         point = [between(F.col(f"{c}0"), F.col(f"{c}1"), F.col(u), whole=c == "t").alias(c) for c in ORDER]
         real = (F.col(u) == 0) | (F.col(u) == 1)
-        pos = F.when(F.col(u) == 0, F.col("seq") + 1).when(F.col(u) == 1, F.col("seq") + 2)
-        return F.struct((F.col("seq") + F.col(u)).alias("at"), *point, pos.cast("bigint").alias("pos"), real.alias("is_real"))
+        pos = F.when((F.col(u) == 0) | F.col("alone"), F.col("seq") + 1).when(F.col(u) == 1, F.col("seq") + 2)
+        return F.struct(F.when(F.col("alone"), 0.0).otherwise(F.col("seq") + F.col(u)).alias("at"), *point, pos.cast("bigint").alias("pos"), real.alias("is_real"))
 
     # a real point on a border belongs to the part that begins there, so that each is in one segment only
     ends = F.array(at("u0"), at("u1"))
@@ -104,7 +112,7 @@ def clipped(points: DataFrame, grid: Grid) -> DataFrame:
     own = F.expr("transform(all, (p, i) -> named_struct('t', p.t, 'x', p.x, 'y', p.y, 'pos', p.pos, 'is_real', p.is_real and (is_last or i < size(all) - 1 or size(all) = 1)))")
     grouped = grouped.withColumn("pts", own).withColumn("real", F.filter("pts", lambda p: p["is_real"]))
     out = grouped.withColumns(
-        {f"{kind}_{n}_{c}": f(F.transform(source, lambda p, c=c: p[c])) for kind, source in (("mbr", "pts"), ("core", "real")) for c in ("x", "y", "t") for n, f in (("min", F.array_min), ("max", F.array_max))}
+        {f"{kind}_{n}_{c}": f(F.transform(source, field(c))) for kind, source in (("mbr", "pts"), ("core", "real")) for c in ("x", "y", "t") for n, f in (("min", F.array_min), ("max", F.array_max))}
         | {"first_pos": F.array_min(F.transform("real", lambda p: p["pos"])), "last_pos": F.array_max(F.transform("real", lambda p: p["pos"]))}
     )
     return with_number(out.drop("all"), names, grid.bits, "cell")

@@ -81,8 +81,8 @@ def _ends_near(query: np.ndarray, eps: float) -> Column:
 
 def lower_bound(query: np.ndarray) -> Column:
     """No trajectory is nearer than: every query point must come near the bounding box. Uses only plain columns."""
-    far = [point_to_rectangle(float(x), float(y), F.col("min_x"), F.col("min_y"), F.col("max_x"), F.col("max_y")) for x, y in query]
-    return F.greatest(*far) if len(far) > 1 else far[0]
+    asked = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in query])
+    return F.array_max(F.transform(asked, lambda q: point_to_rectangle(q["x"], q["y"], F.col("min_x"), F.col("min_y"), F.col("max_x"), F.col("max_y"))))
 
 
 def within(trajectories: DataFrame, query: np.ndarray, eps: float, prune: bool = True, window: tuple[int, int] | None = None) -> DataFrame:

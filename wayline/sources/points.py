@@ -38,10 +38,14 @@ def parse_trajectory(line: Column) -> Column:
     return F.transform(parts, point)
 
 
+def _field(c: str):
+    return lambda p: p[c]
+
+
 def read_trajectories(spark: SparkSession, path: str) -> DataFrame:
     """qid, pts and bounding box of a file with a trajectory a line."""
     rows = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("qid"), parse_trajectory(F.col("value")).alias("pts"))
-    box = [f(F.transform("pts", lambda p, c=c: p[c])).alias(f"{n}_{c}") for c in ("x", "y", "t") for n, f in (("min", F.array_min), ("max", F.array_max))]
+    box = [f(F.transform("pts", _field(c))).alias(f"{n}_{c}") for c in ("x", "y", "t") for n, f in (("min", F.array_min), ("max", F.array_max))]
     return rows.select("qid", "pts", *box)
 
 
