@@ -74,8 +74,10 @@ def vocabulary(texts: list[bytes]) -> Vocabulary:
     begin, size = w.begin[at], (w.end - w.begin)[at]
     cuts = np.concatenate([[0], np.cumsum(size)])
     place = np.arange(cuts[-1]) + np.repeat(begin - cuts[:-1], size)
-    data = np.concatenate([[0], _FOLD[np.where(_BETWEEN, 32, np.arange(256))[w.data]], [32, 32]]).astype(np.uint32)
-    gram = data[place] * np.uint32(0x9E3779B1) + data[place + 1] * np.uint32(0x85EBCA6B) + data[place + 2] * np.uint32(0xC2B2AE35) + data[place + 3] * np.uint32(0x27D4EB2F)
+    data = np.concatenate([[32], _FOLD[np.where(_BETWEEN, 32, np.arange(256))[w.data]], [32, 32]]).astype(np.uint32)
+    gram = data[place] * np.uint32(0x9E3779B1) + data[place + 1] * np.uint32(0x85EBCA6B) + data[place + 2] * np.uint32(0xC2B2AE35)
+    # the word with a space on either side; what follows it is no part of it
+    gram += np.where(place + 2 <= np.repeat(begin + size, size), data[place + 3], 0).astype(np.uint32) * np.uint32(0x27D4EB2F)
     gram ^= gram >> np.uint32(15)
     gram *= np.uint32(0x2C1B3C6D)
     return Vocabulary(distinct, (gram >> np.uint32(32 - CHAR_BITS)).astype(np.int64), cuts, which, w.first)
