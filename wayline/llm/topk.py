@@ -56,7 +56,7 @@ def _pack(rows: DataFrame, per: int, name: str) -> DataFrame:
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row, ties to the smaller id; -1 ids for none."""
+    """The k best of each row, ties to the smaller id; the score _NONE stands for none."""
     scores = np.where(ids == own[:, None], _NONE, scores)
     if scores.shape[1] > 8 * k:  # whatever ties with the k-th stays
         kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
@@ -64,8 +64,7 @@ def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[
         part = np.argpartition(-scores, min(width, scores.shape[1]) - 1, axis=1)[:, :width]
         scores, ids = np.take_along_axis(scores, part, 1), np.take_along_axis(ids, part, 1)
     order = np.lexsort((ids, -scores), axis=1)[:, :k]
-    scores, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
-    return scores, np.where(scores == _NONE, -1, ids)
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
 class Blocks:
@@ -73,7 +72,7 @@ class Blocks:
 
     def __init__(self, dims: int, blocks: list[tuple[np.ndarray, np.ndarray]]):
         self.ids = [b[0] for b in blocks]
-        self.forward = [b[1].reshape(-1, dims) for b in blocks]
+        self.forward = [b[1].reshape(len(b[0]), dims) for b in blocks]
         small = all(np.abs(f).max(initial=0) < _EXACT for f in self.forward) and dims < 512
         self.kind = np.float64 if small else np.int64
         self.forward = [f.astype(self.kind) for f in self.forward]
@@ -88,12 +87,12 @@ class Blocks:
         bound = (np.maximum(q, 0) @ self.top.T.astype(kind) + np.minimum(q, 0) @ self.low.T.astype(kind)).astype(np.int64)
         order = np.argsort(-bound, axis=1, kind="stable")
         scores = np.full((n, k), _NONE)
-        ids = np.full((n, k), -1, np.int64)
+        ids = np.zeros((n, k), np.int64)
         live = np.arange(n)
         for step in range(bound.shape[1]):
             block = order[live, step]
             # a block whose bound is below the k-th score ends the query, as all later ones are lower still
-            open_ = (bound[live, block] >= scores[live, k - 1]) | (ids[live, k - 1] < 0)
+            open_ = bound[live, block] >= scores[live, k - 1]
             live, block = live[open_], block[open_]
             if not len(live):
                 break
@@ -104,7 +103,7 @@ class Blocks:
                 self.visited += len(rows)
                 got = (q[rows] @ self.forward[b].T.astype(kind)).astype(np.int64)
                 names = np.broadcast_to(self.ids[b], got.shape)
-                s, i = best(np.concatenate([scores[rows], got], 1), np.concatenate([np.where(ids[rows] < 0, own[rows][:, None], ids[rows]), names], 1), own[rows], k)
+                s, i = best(np.concatenate([scores[rows], got], 1), np.concatenate([ids[rows], names], 1), own[rows], k)
                 scores[rows], ids[rows] = s, i
         return scores, ids
 
@@ -119,7 +118,7 @@ def _search(k: int):
                     held = Blocks(key[0], [(np.array(b["ids"], np.int64), np.array(b["weights"], np.int64)) for b in row["blocks"]])
                 own = np.array(row["ids"], np.int64)
                 scores, ids = held.search(own, np.array(row["weights"], np.int64).reshape(len(own), key[0]), k)
-                there = ids >= 0
+                there = scores > _NONE
                 who = np.broadcast_to(own[:, None], ids.shape)[there]
                 yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(ids[there]), pa.array(scores[there])], names=["query_id", "vec_id", "score"])
 
