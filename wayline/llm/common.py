@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..ship import ship
 
@@ -63,21 +64,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, spread: str | None = None) -> DataFrame:
     """``rows`` left-joined with the facts of their group, for any distribution of ``key``.
 
     ``groups`` has one row for each key, with the group's number of rows in
     ``size``. At most HOT_SHARE groups can hold more than ``n_rows / HOT_SHARE``
     rows: these are broadcast, and their rows never shuffle by the key. Rows
-    that found a hot group are dealt out by a key of their own in the join with
-    the rest. Rows without a group keep nulls; a null key has none."""
+    that found a hot group are dealt out by a hash of their content and task in
+    the join with the rest: a task that is run again deals them out alike.
+    ``spread`` names what to hash, by default all columns of plain types. Rows
+    without a group keep nulls; a null key has none."""
     limit = max(1, n_rows // HOT_SHARE)
     facts = [c for c in groups.columns if c != key]
     hot = groups.where(F.col(size) > limit).select(F.col(key).alias("_hk"), *[F.col(c).alias(f"_h_{c}") for c in facts])
     cold = groups.where(F.col(size) <= limit).select(F.col(key).alias("_ck"), *[F.col(c).alias(f"_c_{c}") for c in facts])
     found = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
     text_key = F.col(key).cast("string")
-    away = F.concat(F.lit("~"), F.monotonically_increasing_id().cast("string"))
+    content = [F.col(spread)] if spread else [F.col(f.name) for f in rows.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    away = F.concat(F.lit("~"), F.xxhash64(*content, F.spark_partition_id()).cast("string"))
     found = found.withColumn("_jk", F.when(F.col("_hk").isNull() & F.col(key).isNotNull(), text_key).otherwise(away))
     joined = found.join(cold, F.col("_jk") == F.col("_ck").cast("string"), "left")
     return joined.select(*rows.columns, *[F.coalesce(F.col(f"_h_{c}"), F.col(f"_c_{c}")).alias(c) for c in facts])

@@ -94,7 +94,7 @@ def keep(docs: DataFrame) -> DataFrame:
     marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.sha2(normalized(docs["text"]).cast("binary"), 256).alias("text_sha256"))
     tested = maybe_repeated(marked.withColumn("h", F.xxhash64("text_sha256")), filled, bits)
     alone = tested.where("not maybe").select("row.*")
-    joined = attach(tested.where("maybe").select("row", "text_sha256"), groups, "text_sha256", "group_size", n)
+    joined = attach(tested.where("maybe").select("row", "text_sha256"), groups, "text_sha256", "group_size", n, "row.doc_id")
     staying = joined.where("group_size is null or row.doc_id <=> first.doc_id")
     # rows that repeat both id and text: one of them stays
     staying = staying.withColumn("id", F.col("row.doc_id")).dropDuplicates(["id", "text_sha256"])

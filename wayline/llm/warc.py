@@ -199,7 +199,7 @@ def write(pages: DataFrame, path: str, when: str = "20080430204825") -> None:
     whole = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), payload.cast("binary").alias("payload"), F.sha1(payload).alias("digest"))
     tested = maybe_repeated(whole.withColumn("h", F.xxhash64("digest")), filled, bits)
     alone = tested.where("not maybe").select("page_id", "url", "payload", F.lit(None).cast("long").alias("response_of"))
-    met = attach(tested.where("maybe").select("page_id", "url", "payload", "digest"), groups, "digest", "n", n)
+    met = attach(tested.where("maybe").select("page_id", "url", "payload", "digest"), groups, "digest", "n", n, "page_id")
     revisits = met.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("response_of"))
     records = alone.unionByName(revisits).mapInArrow(_archive(alternate, when), "record binary")
     records.select(F.col("record").cast("string")).write.option("lineSep", _END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
