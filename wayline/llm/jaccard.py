@@ -7,8 +7,13 @@ distance by some k. The feature domain, 64-bit hashes, is cut into n1 x n2
 ranges; at least one of the n1 first-level partitions holds at most k2 of the
 k differences, so some n2 - k2 of its n2 second-level partitions agree. A
 signature is the content of one such subset: similar sets share one for sure.
+Where the subsets are single partitions there are more of them than the k + 1
+that are needed, and a set leaves out as many of its smallest ones, by (size,
+content). Of the partitions in which two similar sets agree, which are more
+than either leaves out, both keep the largest; and the small ones, which
+unrelated sets share by chance, are gone.
 
-Equal sets are one class and make signatures once. Sorted by signature, rows
+Equal sets are one class and make signatures once a task. Sorted by signature, rows
 stream past; sets that share one with others are its members. Two rounds of
 exact verification follow, each without pairs of a whole group:
 
@@ -45,6 +50,7 @@ from .common import Words, attach, joint_hash, materialize, splitmix, text_block
 from .exact_dedup import _CELL, filter_bits, maybe_repeated, repeated_cells
 
 BLOCK = 1024  # members of a signature compared at once
+SPARE = 30  # partitions beyond those needed, in hundredths; each set leaves out as many
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -83,11 +89,14 @@ class PartEnum:
         return self._starts[band + 1] - 1
 
     @lru_cache(maxsize=None)
-    def plan(self, instance: int) -> tuple[int, int, tuple[tuple[int, ...], ...]]:
-        """(n1, n2, subsets of the n2) for sets of bands ``instance - 1`` and ``instance``."""
+    def plan(self, instance: int) -> tuple[int, int, tuple[tuple[int, ...], ...], int]:
+        """(n1, n2, subsets of the n2, signatures to leave out) for sets of bands ``instance - 1`` and ``instance``."""
         k = (100 - self.share) * 2 * self.last(instance) // (100 + self.share)
-        n1, n2, k2 = (1, 1, 0) if k == 0 else (1, k + 2, k) if k <= 2 else (k // 2 + 1, 2, 1)
-        return n1, n2, tuple(itertools.combinations(range(n2), n2 - k2))
+        if k <= 2:
+            n2 = k + 2 if k else 1
+            return 1, n2, tuple(itertools.combinations(range(n2), n2 - k)), 0
+        n1 = -(-(k + 1) * (100 + SPARE) // 200)
+        return n1, 2, ((0,), (1,)), 2 * n1 - k - 1
 
     def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """All sets' signatures, one set's after another's, and where each set's begin (and the end)."""
@@ -101,7 +110,7 @@ class PartEnum:
         for up in (0, 1):
             for instance in np.unique(bands[filled]) + up:
                 rows = filled[bands[filled] + up == instance]
-                n1, n2, subsets = self.plan(int(instance))
+                n1, n2, subsets, spare = self.plan(int(instance))
                 fine = n1 * n2
                 place = np.concatenate([np.arange(begin[r], begin[r + 1]) for r in rows])
                 of = np.repeat(np.arange(len(rows)), sizes[rows])
@@ -114,7 +123,12 @@ class PartEnum:
                 for i, subset in enumerate(subsets):
                     tag = np.broadcast_to(np.uint64(instance) << np.uint64(40) | where << np.uint64(8) | np.uint64(i), (len(rows), n1)).ravel()
                     made[:, :, i] = joint_hash(tag, *[sums[:, :, j].ravel() for j in subset]).reshape(len(rows), n1)
-                parts.append((np.repeat(rows, n1 * len(subsets)), made.ravel()))
+                made = made.reshape(len(rows), -1)
+                if spare:
+                    size = np.diff(cuts).reshape(len(rows), fine)
+                    kept = np.lexsort((sums.reshape(len(rows), fine), size), axis=1)[:, spare:]
+                    made = np.take_along_axis(made, kept, 1)
+                parts.append((np.repeat(rows, made.shape[1]), made.ravel()))
         if not parts:
             return np.zeros(0, np.uint64), np.zeros(len(sets) + 1, np.int64)
         of = np.concatenate([p[0] for p in parts])
@@ -156,17 +170,37 @@ def _sets(width: int, share: int):
         rule = PartEnum(share)
         for batch, texts in text_blocks(batches):
             sets = shingle_sets(texts, width)
-            made, cuts = rule.signatures(sets)
-            ids = [set_id(s) if len(s) else None for s in sets]
-            listed = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(made.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([rule.sketch(s) if len(s) else None for s in sets], pa.binary()), listed],
-                names=["doc_id", "n", "sid", "sketch", "sigs"],
+                [
+                    batch.column("doc_id"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([rule.sketch(s) if len(s) else None for s in sets], pa.binary()),
+                ],
+                names=["doc_id", "n", "sid", "sketch"],
             )
 
     return run
 
 
+def _signatures(width: int, share: int):
+    """(sig, sid) of the distinct sets of a task."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rule, seen = PartEnum(share), set()
+        for _, texts in text_blocks(batches):
+            fresh, ids = [], []
+            for members in shingle_sets(texts, width):
+                if len(members) and (sid := set_id(members)) not in seen:
+                    seen.add(sid)
+                    fresh.append(members)
+                    ids.append(sid)
+            made, cuts = rule.signatures(fresh)
+            yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), np.diff(cuts)))], names=["sig", "sid"])
+
+    return run
+
+
 def set_id(members: np.ndarray) -> int:
     with np.errstate(over="ignore"):
         total = splitmix(members ^ np.uint64(0x9FB21C651E98DF25)).sum(dtype=np.uint64)
@@ -323,7 +357,7 @@ class Join:
         ship(docs.sparkSession)
         self.width, self.share = width, share
         self.docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-        schema = "doc_id bigint, n bigint, sid bigint, sketch binary, sigs array<bigint>"
+        schema = "doc_id bigint, n bigint, sid bigint, sketch binary"
         self.rows = materialize(self.docs.mapInArrow(_sets(width, share), schema).withColumn("rid", F.monotonically_increasing_id()).withColumn("h", F.col("sid")), "jaccard-sets")
         filled = self.rows.where("n > 0")
         self.n_rows, bits = filter_bits(self.rows.select("rid"))
@@ -332,13 +366,13 @@ class Join:
         groups = some.groupBy("sid").agg(F.min("rid").alias("first_rid"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"))
         self.groups = materialize(groups.where("size > 1"), "jaccard-copies")
         tested = maybe_repeated(filled, cells, bits)
-        alone = tested.where("not maybe").select("sid", "n", "doc_id", "sketch", "sigs", F.col("doc_id").alias("first"))
-        met = attach(tested.where("maybe").select("sid", "n", "doc_id", "sketch", "sigs", "rid"), self.groups, "sid", "size", self.n_rows)
-        kept = met.where("first_rid is null or rid = first_rid").select("sid", "n", "doc_id", "sketch", "sigs", F.coalesce("first", "doc_id").alias("first"))
+        alone = tested.where("not maybe").select("sid", "n", "doc_id", "sketch", F.col("doc_id").alias("first"))
+        met = attach(tested.where("maybe").select("sid", "n", "doc_id", "sketch", "rid"), self.groups, "sid", "size", self.n_rows)
+        kept = met.where("first_rid is null or rid = first_rid").select("sid", "n", "doc_id", "sketch", F.coalesce("first", "doc_id").alias("first"))
         self.classes = alone.unionByName(kept)
 
     def members(self) -> DataFrame:
-        rows = self.classes.select(F.explode("sigs").alias("sig"), "sid")
+        rows = self.docs.select("text").mapInArrow(_signatures(self.width, self.share), "sig bigint, sid bigint")
         return materialize(rows.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(_members, "sig bigint, center bigint, sid bigint"), "jaccard-members")
 
     def links(self, pairs: DataFrame) -> DataFrame:
