@@ -205,3 +205,41 @@ def test_empty(spark, tmp_path):
     assert assemble.trajectories(none).count() == 0
     assert ranges.pieces(ranges.clipped(none, BOXES[0])).count() == 0
     assert segment.clipped(none, assemble.grid_of(none, 3, 2)).count() == 0
+
+
+@pytest.mark.parametrize("box", BOXES)
+def test_point_table(pts, box, tmp_path):
+    from wayline.plans.table import PointTable
+
+    t = PointTable.write(pts, str(tmp_path / "p"), bits=4, dims=2)
+    want = sorted(tuple(r) for r in ranges.points_in(pts, box).collect())
+    assert sorted(tuple(r) for r in t.range(box).select("object_id", "t", "x", "y").collect()) == want
+
+
+def test_batch_on_the_table(pts, spark, table):
+    rows = [(i, b.x0, b.y0, b.t0, b.x1, b.y1, b.t1) for i, b in enumerate(BOXES)]
+    boxes = spark.createDataFrame(rows, "qid int, x0 double, y0 double, t0 bigint, x1 double, y1 double, t1 bigint")
+    got = table.range_batch(boxes)
+    for i, b in enumerate(BOXES):
+        assert length(got.where(F.col("qid") == i)) == pytest.approx(length(ranges.clipped(pts, b)), abs=1e-3)
+
+
+def test_flat_table(pts, tmp_path):
+    from wayline.plans.table import write_flat
+
+    flat = write_flat(pts, str(tmp_path / "f"), bits=3, dims=2)
+    assert flat.select("object_id").distinct().count() == 8 and "PushedFilters: [IsNotNull(mbr_max_x)" in flat.where("mbr_max_x > 3")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours():
+    from wayline.functions import hilbert
+
+    assert len(hilbert.neighbours(0, 3, 2)) == 3
+    middle = int(hilbert.numbers(np.array([(3, 4)]), 3)[0])
+    assert sorted(map(tuple, hilbert.cells(np.array(hilbert.neighbours(middle, 3, 2)), 3, 2).tolist())) == sorted((x, y) for x in (2, 3, 4) for y in (3, 4, 5) if (x, y) != (3, 4))
+
+
+def test_similar_window(pts, table):
+    whole = assemble.trajectories(pts)
+    query = similar.query_points(whole, "o2")
+    assert table.similar(query, 0.0, window=(0, 10**9)).count() == 1 and table.similar(query, 0.0, window=(2000, 10**9)).count() == 0

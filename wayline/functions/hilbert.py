@@ -90,6 +90,14 @@ def cells(number: np.ndarray, bits: int, dims: int) -> np.ndarray:
     return x.T
 
 
+def neighbours(number: int, bits: int, dims: int) -> list[int]:
+    """Curve numbers of the cells beside a cell, corners included; those beyond the grid are left out."""
+    at = cells(np.array([number]), bits, dims)[0]
+    around = [tuple(at + np.array(step)) for step in itertools.product((-1, 0, 1), repeat=dims) if any(step)]
+    inside = [c for c in around if all(0 <= v < 1 << bits for v in c)]
+    return sorted(numbers(np.array(inside), bits).tolist()) if inside else []
+
+
 def ranges(low: list[int], high: list[int], bits: int) -> list[tuple[int, int]]:
     """Closed runs of curve numbers that cover a box of cells, both corners included."""
     grid = np.array(list(itertools.product(*[range(a, b + 1) for a, b in zip(low, high, strict=True)])))

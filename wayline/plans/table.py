@@ -10,20 +10,61 @@ from __future__ import annotations
 
 import itertools
 import json
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hilbert
-from ..functions.geometry import distance
+from ..functions.geometry import distance, ordinate
 from ..operators import assemble, range as ranges, segment, similar
 from ..schema import Box, Grid
 
 MAX_DIRECTORIES = 12  # bits of the coarse cell at most
+MAX_RUNS = 500  # runs of curve numbers that a filter names
 MAX_LISTED = 20_000  # cells that a query lists; beyond it bounding boxes alone prune
 
 
+def _steps(segments: DataFrame, *keep: str) -> DataFrame:
+    """The edges inside segments: the kept columns, seq and the ends."""
+    steps = F.arrays_zip(F.expr("slice(pts, 1, greatest(size(pts) - 1, 0))").alias("a"), F.expr("slice(pts, 2, greatest(size(pts) - 1, 0))").alias("b"))
+    parts = segments.select(*keep, F.posexplode(steps).alias("step", "e"))
+    ends = {f"{c}{i}": F.col(f"e.{p}.{c}") for i, p in enumerate("ab") for c in ("t", "x", "y")}
+    return parts.select(*keep, F.col("step").alias("seq"), *[v.alias(k) for k, v in ends.items()])
+
+
+class PointTable:
+    """A row a point, sorted by the cell's curve number over all files, so that a box reads few row groups."""
+
+    def __init__(self, spark: SparkSession, path: str, grid: Grid):
+        self.grid, self.rows = grid, spark.read.parquet(path)
+
+    @classmethod
+    def write(cls, points: DataFrame, path: str, bits: int = 4, dims: int = 2) -> PointTable:
+        grid = assemble.grid_of(points, bits, dims)
+        rows = assemble.with_cell_number(points, grid).drop("gx", "gy", "gt")
+        rows.repartitionByRange("cell", "t").sortWithinPartitions("cell", "t").write.parquet(path)
+        return cls(points.sparkSession, path, grid)
+
+    def range(self, box: Box) -> DataFrame:
+        """The points in a box: runs of curve numbers skip, the box itself decides."""
+        g = self.grid
+        low, high = (box.x0, box.y0, box.t0)[: g.dims], (box.x1, box.y1, box.t1)[: g.dims]
+        runs = hilbert.ranges([g.ordinate(i, v) for i, v in enumerate(low)], [g.ordinate(i, v) for i, v in enumerate(high)], g.bits)
+        rows = self.rows
+        if len(runs) <= MAX_RUNS:
+            rows = rows.where(reduce(lambda a, b: a | b, [F.col("cell").between(a, b) for a, b in runs]))
+        return ranges.points_in(rows, box)
+
+
+def write_flat(points: DataFrame, path: str, bits: int = 4, dims: int = 2) -> DataFrame:
+    """Clipped segments in one sorted table instead of directories: row groups alone prune."""
+    cut = segment.clipped(points, assemble.grid_of(points, bits, dims)).drop("real")
+    cut.repartitionByRange("cell", "mbr_min_t").sortWithinPartitions("cell", "mbr_min_t").write.parquet(path)
+    return points.sparkSession.read.parquet(path)
+
+
 class SegmentTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -101,11 +142,7 @@ class SegmentTable:
         rows = self._in_cells(self.segments, None if cells is None else cells[0] + cells[1])
         for c, (lo, hi) in {"x": (box.x0, box.x1), "y": (box.y0, box.y1), "t": (box.t0, box.t1)}.items():
             rows = rows.where((F.col(f"mbr_max_{c}") >= lo) & (F.col(f"mbr_min_{c}") <= hi))
-        steps = F.arrays_zip(F.expr("slice(pts, 1, greatest(size(pts) - 1, 0))").alias("a"), F.expr("slice(pts, 2, greatest(size(pts) - 1, 0))").alias("b"))
-        parts = rows.select("object_id", "seg_no", "cell", F.posexplode(steps).alias("step", "e"))
-        ends = {f"{c}{i}": F.col(f"e.{p}.{c}") for i, p in enumerate("ab") for c in ("t", "x", "y")}
-        parts = parts.select("object_id", "seg_no", "cell", F.col("step").alias("seq"), *[v.alias(k) for k, v in ends.items()])
-        return ranges.clip_edges(parts, {k: F.lit(getattr(box, k)) for k in ("x0", "y0", "t0", "x1", "y1", "t1")}, keys=("object_id", "seg_no"))
+        return ranges.clip_edges(_steps(rows, "object_id", "seg_no"), {k: F.lit(getattr(box, k)) for k in ("x0", "y0", "t0", "x1", "y1", "t1")}, keys=("object_id", "seg_no"))
 
     def points(self, box: Box) -> DataFrame:
         """The original points in the box: object_id, t, x, y, pos."""
@@ -136,11 +173,30 @@ class SegmentTable:
             raise ValueError(prune)
         return segment.complete(rows.select("object_id", "first_pos", "last_pos", "n_total")).select("object_id")
 
-    def similar(self, query: np.ndarray, eps: float, prune: str = "pivots") -> DataFrame:
-        """(object_id, score) within Frechet distance eps: candidates from metadata, then their whole trajectories."""
+    def similar(self, query: np.ndarray, eps: float, prune: str = "pivots", window: tuple[int, int] | None = None) -> DataFrame:
+        """(object_id, score) within Frechet distance eps: candidates from metadata, then their whole trajectories; ``window`` keeps those whole inside a time range."""
         ids = self.candidates(query, eps, prune).withColumnRenamed("object_id", "_id")
         whole = self.trajectories.join(ids, F.col("object_id") == F.col("_id"), "left_semi")
-        return similar.within(whole, query, eps)
+        return similar.within(whole, query, eps, window=window)
+
+    def range_batch(self, boxes: DataFrame) -> DataFrame:
+        """Clipped parts of edges for many boxes (qid, x0, y0, t0, x1, y1, t1): qid, object_id, seg_no, seq and ends.
+
+        Boxes go to the cells that they cover and meet the segments on them, so
+        Spark reads only the directories that any box needs (dynamic pruning)."""
+        g = self.grid
+        q = {c: F.col(f"q_{c}") for c in ("x0", "y0", "t0", "x1", "y1", "t1")}
+        asked = boxes.select("qid", *[F.col(c).alias(f"q_{c}") for c in q])
+        for (c, low, high), name in zip(g.axes(), ("gx", "gy", "gt"), strict=False):
+            asked = asked.where((q[f"{c}1"] >= low) & (q[f"{c}0"] <= high))
+        for i, ((c, _, _), name) in enumerate(zip(g.axes(), ("gx", "gy", "gt"), strict=False)):
+            span = F.sequence(ordinate(q[f"{c}0"].cast("double"), g, i), ordinate(q[f"{c}1"].cast("double"), g, i))
+            asked = asked.withColumn(name, F.explode(span))
+        asked = hilbert.with_number(asked, ["gx", "gy", "gt"][: g.dims], g.bits, "q_cell").withColumn("q_dir", F.shiftright("q_cell", self.shift).cast("int"))
+        met = self.segments.join(asked.drop("gx", "gy", "gt"), (F.col("dir") == F.col("q_dir")) & (F.col("cell") == F.col("q_cell")))
+        for c in ("x", "y", "t"):
+            met = met.where((F.col(f"mbr_max_{c}") >= q[f"{c}0"]) & (F.col(f"mbr_min_{c}") <= q[f"{c}1"]))
+        return ranges.clip_edges(_steps(met, "qid", "object_id", "seg_no", *[f"q_{c}" for c in q]), q, keys=("qid", "object_id", "seg_no"))
 
     def nearest(self, query: np.ndarray, k: int) -> DataFrame:
         return similar.nearest(self.trajectories, query, k)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as g
 from .operators import assemble, range as ranges, segment, similar, tools
-from .plans.table import SegmentTable
+from .plans.table import PointTable, SegmentTable, write_flat
 from .schema import Box, Grid
 
 BOX = Box(2.25, 2.5, 1704700000000, 6.75, 7.5, 1705600000000)
@@ -182,6 +182,23 @@ def range_batch(s, d):
     return _ends(ranges.batch(points(s, d), boxes, GRID2), "qid", "object_id", F.col("seq").cast("bigint").alias("seq"))
 
 
+def range_batch_indexed(s, d):
+    boxes = s.createDataFrame(BOXES, "qid int, x0 double, y0 double, t0 bigint, x1 double, y1 double, t1 bigint")
+    parts = _table(s, d).range_batch(boxes)
+    dx, dy = F.col("x_out") - F.col("x_in"), F.col("y_out") - F.col("y_in")
+    return parts.groupBy("qid", "object_id").agg(F.round(F.sum(F.sqrt(dx * dx + dy * dy)), 4).alias("length")).where("length > 0")
+
+
+def range_points_curve(s, d):
+    return PointTable.write(points(s, d), _scratch(s)).range(BOX).select("object_id", "t", r6("x").alias("x"), r6("y").alias("y"))
+
+
+def segments_flat(s, d):
+    flat = write_flat(points(s, d), _scratch(s))
+    boxed = [F.col(f"mbr_{n}_{c}").alias(f"{n}_{c}") for c in ("x", "y", "t") for n in ("min", "max")]
+    return ranges.overlapping(flat.select("object_id", "first_pos", *boxed), BOX).where("first_pos is not null").groupBy("object_id").agg(F.min("first_pos").alias("first_pos"))
+
+
 def rect_count(s, d):
     return points(s, d).where(F.col("x").between(RECT[0], RECT[2]) & F.col("y").between(RECT[1], RECT[3])).agg(F.count(F.lit(1)).alias("n"))
 
@@ -260,7 +277,7 @@ _NAMED = [
     traj_points, traj_assemble, traj_bounds, edge_list, cell_assign_2d, cell_assign_3d, cell_occupancy, cells_per_trajectory, hilbert_index_2d,
     segment_by_cell, segment_fixed_k, segment_clip_2d, segment_clip_3d, segment_pivots, interval_completeness, mbr_overlap, range_points,
     range_points_runs, range_clip, range_clip_concat, range_whole_edge, range_mbr_only, range_indexed, range_indexed_3d, range_points_indexed,
-    range_batch, rect_count, dist_point_rect, minmaxdist_point_rect, dist_segment_rect, rect_rect_dist, line_intersection, edge_box_test,
+    range_batch, range_batch_indexed, range_points_curve, segments_flat, rect_count, dist_point_rect, minmaxdist_point_rect, dist_segment_rect, rect_rect_dist, line_intersection, edge_box_test,
     frechet_threshold, frechet_threshold_pruned, frechet_batch, knn_brute, knn_pruned, query_generator, export_trajectories,
 ]
 
@@ -443,6 +460,8 @@ SELECT object_id, seg_no, array_to_string(list_filter(v, lambda e, i: list_posit
         "mbr_overlap": f"WITH {P} SELECT object_id, count(*) AS n_points FROM p GROUP BY object_id HAVING max(x) >= {B.x0} AND min(x) <= {B.x1} AND max(y) >= {B.y0} AND min(y) <= {B.y1} AND max(t) >= {B.t0} AND min(t) <= {B.t1}",
         "range_points": in_range,
         "range_points_indexed": in_range,
+        "range_points_curve": in_range,
+        "range_batch_indexed": f"WITH {E_}, q(qid, q_x0, q_y0, q_t0, q_x1, q_y1, q_t1) AS (VALUES {boxes}), c0 AS (SELECT *, {b_in} AS inside, {b_u1} AS u1, {b_u2} AS u2 FROM e, q), c AS (SELECT qid, object_id, seq, {_ENDS} FROM c0 WHERE inside AND u1 <= u2) SELECT CAST(qid AS INTEGER) AS qid, object_id, round(sum(sqrt((x_out - x_in) * (x_out - x_in) + (y_out - y_in) * (y_out - y_in))), 4) AS length FROM c GROUP BY qid, object_id HAVING length > 0",
         "range_points_runs": f"""WITH {P}, n AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY t, x, y) AS pos FROM p),
 i AS (SELECT *, pos - row_number() OVER (PARTITION BY object_id ORDER BY pos) AS gap FROM n WHERE {inside})
 SELECT object_id, CAST(row_number() OVER (PARTITION BY object_id ORDER BY gap) AS INTEGER) AS run, count(*) AS n_points, min(t) AS first_t, max(t) AS last_t FROM i GROUP BY object_id, gap""",
