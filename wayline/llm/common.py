@@ -135,7 +135,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64."""
     if "up" not in _powers or len(_powers["up"]) < n + 1:
-        size = max(n + 1, BLOCK_BYTES + (BLOCK_BYTES >> 2))
+        size = max(n + 1, BLOCK_BYTES + 1)
         for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
             x = np.full(size, base, np.uint64)
             x[0] = 1
@@ -143,6 +143,31 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def _sums(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of each range of bytes: the sum of its bytes' values times powers of the base. Holds about a block at a time, whatever the lengths."""
+    out = np.empty(len(begin), np.uint64)
+    up, down = _power_table(BLOCK_BYTES)
+    first = 0
+    while first < len(begin):
+        low = begin[first]
+        last = max(int(np.searchsorted(end, low + BLOCK_BYTES, side="right")), first + 1)
+        high = end[last - 1]
+        if high - low <= BLOCK_BYTES:
+            run = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(_FOLDED[data[low:high]] * up[: high - low], out=run[1:])
+            out[first:last] = (run[end[first:last] - low] - run[begin[first:last] - low]) * down[begin[first:last] - low]
+        else:  # one word that is longer than a block
+            total, step = 0, pow(_BASE, BLOCK_BYTES, 1 << 64)
+            scale = 1
+            for at in range(low, high, BLOCK_BYTES):
+                part = data[at : min(at + BLOCK_BYTES, high)]
+                total += scale * int((_FOLDED[part] * up[: len(part)]).sum(dtype=np.uint64))
+                scale = scale * step % (1 << 64)
+            out[first] = total % (1 << 64)
+        first = last
+    return out
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of some texts as arrays.
 
@@ -160,10 +185,7 @@ class Words:
         if len(white) and not white[0]:
             edge = np.concatenate([[0], edge])
         self.begin, self.end = edge[0::2], edge[1::2]
-        up, down = _power_table(len(self.data))
-        run = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_FOLDED[self.data] * up[: len(self.data)], out=run[1:])
-        self.hash = splitmix((run[self.end] - run[self.begin]) * down[self.begin] + (self.end - self.begin).astype(np.uint64) * np.uint64(_BASE))
+        self.hash = splitmix(_sums(self.data, self.begin, self.end) + (self.end - self.begin).astype(np.uint64) * np.uint64(_BASE))
         self.first = np.searchsorted(self.begin, self.offset)
 
 

@@ -80,7 +80,34 @@ def vocabulary(texts: list[bytes]) -> Vocabulary:
     gram += np.where(place + 2 <= np.repeat(begin + size, size), data[place + 3], 0).astype(np.uint32) * np.uint32(0x27D4EB2F)
     gram ^= gram >> np.uint32(15)
     gram *= np.uint32(0x2C1B3C6D)
-    return Vocabulary(distinct, (gram >> np.uint32(32 - CHAR_BITS)).astype(np.int64), cuts, which, w.first)
+    return Vocabulary(distinct, (gram >> np.uint32(32 - CHAR_BITS)).astype(np.int32), cuts, which, w.first)
+
+
+def whole_vocabulary(texts: list[bytes], block: int = 1 << 20) -> Vocabulary:
+    """The same for many texts, made of a block of them at a time."""
+    parts, at, held = [], 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= block or i + 1 == len(texts):
+            parts.append(vocabulary(texts[at : i + 1]))
+            at, held = i + 1, 0
+    if not parts:
+        return vocabulary([])
+    word = np.concatenate([p.word for p in parts])
+    distinct, index, which = np.unique(word, return_index=True, return_inverse=True)
+    starts = np.cumsum([0] + [len(p.word) for p in parts])
+    places = np.cumsum([0] + [p.first[-1] for p in parts])
+    size = np.concatenate([np.diff(p.cuts) for p in parts])
+    begin = np.cumsum(size) - size
+    grams, cuts = _spread(np.concatenate([p.grams for p in parts]), begin[index], size[index])
+    first = np.concatenate([p.first[:-1] + k for p, k in zip(parts, places, strict=False)] + [places[-1:]])
+    return Vocabulary(distinct, grams, cuts, np.concatenate([which[s + p.which] for p, s in zip(parts, starts, strict=False)]), first)
+
+
+def _spread(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of values (begin, size) one after another, and where they begin."""
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    return values[np.arange(cuts[-1]) + np.repeat(begin - cuts[:-1], size)], cuts
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,23 +281,28 @@ def _by_row(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pick(v: Vocabulary, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.diff(v.cuts)[words]
-    cuts = np.concatenate([[0], np.cumsum(sizes)])
-    place = np.arange(cuts[-1]) + np.repeat(v.cuts[:-1][words] - cuts[:-1], sizes)
-    return v.grams[place], cuts
-
+    return _spread(v.grams, v.cuts[:-1][words], np.diff(v.cuts)[words])
 
-def over_represented(numbers: np.ndarray, text: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Of each number: a third of the standard deviations, over CHANCE, that its count of toxic texts is above chance.
 
-    ``numbers`` and ``text``: distinct pairs."""
-    both = np.bincount(numbers)
-    toxic = np.bincount(numbers[label[text] > 0], minlength=len(both))
-    share = label.mean()
+def over_represented(both: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """Of counts of texts: a third of the standard deviations, over CHANCE, that the toxic count is above chance."""
     excess = (toxic - both * share) / np.sqrt(both * share * (1 - share) + 1)
     return (np.clip(excess - CHANCE, 0, 9) / 3).astype(np.float32)
 
 
+def count_texts(v: Vocabulary, label: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Texts, and toxic ones, with each word and each code, of those that are counted."""
+    out = [np.zeros(len(v.word)), np.zeros(len(v.word)), np.zeros(1 << CHAR_BITS), np.zeros(1 << CHAR_BITS)]
+    for i in np.flatnonzero(counted):
+        words = np.unique(v.which[v.first[i] : v.first[i + 1]])
+        codes = np.unique(_pick(v, words)[0])
+        for k, seen in ((0, words), (2, codes)):
+            out[k][seen] += 1
+            if label[i] > 0:
+                out[k + 1][seen] += 1
+    return tuple(out)
+
+
 def fresh(known: np.ndarray, excess: np.ndarray, codes: np.ndarray, gram_excess: np.ndarray, seed: int = 7) -> Network:
     """Random weights; the first word dimension starts as how over-represented the word is in toxic documents."""
     rng = np.random.default_rng(seed)
@@ -300,23 +332,15 @@ def fit(texts: list[bytes], label: np.ndarray, rounds: int = 2, seed: int = 7) -
         net.scale = np.array([0.0, 30.0 if share == 1 else -30.0])
         return net
     rng = np.random.default_rng(seed)
-    v = vocabulary(texts)
+    v = whole_vocabulary(texts)
     # near copies count once: texts whose smallest word hashes agree
     once = np.unique([_sketch(v.word[v.which[v.first[i] : v.first[i + 1]]]) for i in range(len(texts))], return_index=True)[1]
-    some = np.zeros(len(texts), bool)
-    some[once] = True
-    n = max(len(v.word), 1)
-    pair = np.unique(np.repeat(np.arange(len(texts)), np.diff(v.first)) * n + v.which)
-    pair = pair[some[pair // n]]
-    text, word = pair // n, pair % n
-    excess = over_represented(word, text, label) if len(word) else np.zeros(0, np.float32)
-    often = np.flatnonzero(np.bincount(word, minlength=len(v.word)) >= MIN_TEXTS)
-    size = np.diff(v.cuts)[word]
-    place = np.repeat(v.cuts[:-1][word] - np.cumsum(size) + size, size) + np.arange(size.sum())
-    grams = np.unique(np.repeat(text, size) << CHAR_BITS | v.grams[place])
-    code = grams & ((1 << CHAR_BITS) - 1)
-    gram_excess = over_represented(code, grams >> CHAR_BITS, label) if len(code) else np.zeros(0, np.float32)
-    codes = np.flatnonzero(np.bincount(code) >= MIN_TEXTS)
+    counted = np.zeros(len(texts), bool)
+    counted[once] = True
+    share = label[counted].mean()
+    both, toxic, both_codes, toxic_codes = count_texts(v, label, counted)
+    often, codes = np.flatnonzero(both >= MIN_TEXTS), np.flatnonzero(both_codes >= MIN_TEXTS)
+    excess, gram_excess = over_represented(both, toxic, share), over_represented(both_codes, toxic_codes, share)
     net = fresh(v.word[often], excess[often], codes, gram_excess[codes], seed)
     v = net.index(v)
     place, of = windows(v.first)
