@@ -16,9 +16,9 @@ from .operators import assemble, range as ranges, segment, similar, tools
 from .plans.table import PointTable, SegmentTable, write_flat
 from .schema import Box, Grid
 
-BOX = Box(2.25, 2.5, 1704700000000, 6.75, 7.5, 1705600000000)
+BOX = Box(2.25, 0.25, 1704700000000, 6.75, 7.5, 1705600000000)
 RECT = (3.0, 4.0, 3.5, 4.5)
-BOXES = [(0, 2.25, 2.5, 1704700000000, 6.75, 7.5, 1705600000000), (1, 0.5, 0.25, 1704067200000, 1.5, 1.75, 1704900000000), (2, 5.1, 1.2, 1705000000000, 8.4, 3.3, 1706200000000), (3, 50.0, 50.0, 1704067200000, 60.0, 60.0, 1706700000000)]
+BOXES = [(0, 2.25, 0.25, 1704700000000, 6.75, 7.5, 1705600000000), (1, 0.5, 0.25, 1704067200000, 1.5, 1.75, 1704900000000), (2, 5.1, 1.2, 1705000000000, 8.4, 3.3, 1706200000000), (3, 50.0, 50.0, 1704067200000, 60.0, 60.0, 1706700000000)]
 # The grid's bounds are fixed here, so that SQL can name them; positions beyond go to the outer cells.
 GRID2 = Grid(4, 2, 0.0, 0.0, 1704067200000, 16.0, 16.0, 1706745600000)
 GRID3 = Grid(3, 3, 0.0, 0.0, 1704067200000, 16.0, 16.0, 1706745600000)
