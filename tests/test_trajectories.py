@@ -29,7 +29,7 @@ def pts(spark):
 
 @pytest.fixture(scope="module")
 def table(pts, tmp_path_factory):
-    return SegmentTable.write(pts, str(tmp_path_factory.mktemp("t")), bits=3, dims=2)
+    return SegmentTable.write(pts, str(tmp_path_factory.mktemp("t")), bits=3, dims=2, per_directory=10)
 
 
 def test_assemble(pts):
@@ -103,7 +103,7 @@ def length(df):
 @pytest.mark.parametrize("box", BOXES)
 @pytest.mark.parametrize("dims", [2, 3])
 def test_indexed_ranges_equal_plain_ones(pts, box, dims, tmp_path):
-    t = SegmentTable.write(pts, str(tmp_path / "t"), bits=2, dims=dims)
+    t = SegmentTable.write(pts, str(tmp_path / "t"), bits=2, dims=dims, per_directory=20)
     plain = length(ranges.clipped(pts, box))
     assert length(t.range(box)) == pytest.approx(plain, abs=1e-3)
     want = {tuple(r) for r in ranges.points_in(pts, box).collect()}

@@ -22,6 +22,7 @@ from ..operators import assemble, range as ranges, segment, similar
 from ..schema import Box, Grid
 
 MAX_DIRECTORIES = 12  # bits of the coarse cell at most
+PER_DIRECTORY = 50_000  # points; small data sets stay in few files
 MAX_RUNS = 500  # runs of curve numbers that a filter names
 MAX_LISTED = 20_000  # cells that a query lists; beyond it bounding boxes alone prune
 
@@ -76,11 +77,12 @@ class SegmentTable:
         self.trajectories = spark.read.parquet(f"{self.path}/trajectories")
 
     @classmethod
-    def write(cls, points: DataFrame, path: str, bits: int = 4, dims: int = 2) -> SegmentTable:
-        """Cuts points (object_id, t, x, y) and stores them."""
+    def write(cls, points: DataFrame, path: str, bits: int = 4, dims: int = 2, per_directory: int = PER_DIRECTORY) -> SegmentTable:
+        """Cuts points (object_id, t, x, y) and stores them, in as many directories as give each ``per_directory`` points on average."""
         spark, path = points.sparkSession, path.rstrip("/")
         grid = assemble.grid_of(points, bits, dims)
-        shift = max(0, bits * dims - MAX_DIRECTORIES)
+        wanted = max(1, points.count() // per_directory).bit_length() - 1
+        shift = bits * dims - min(wanted, MAX_DIRECTORIES, bits * dims)
         cut = segment.with_pivots(segment.clipped(points, grid)).drop("real")
         cut = cut.withColumn("dir", F.shiftright("cell", shift).cast("int"))
         cut.repartition("dir").sortWithinPartitions("dir", "cell", "mbr_min_t").write.partitionBy("dir").parquet(f"{path}/segments")
