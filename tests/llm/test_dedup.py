@@ -233,3 +233,27 @@ def test_lines_rule_by_brute_force(spark):
             if hi - lo >= 2 or n[lo:hi].sum() >= 50:
                 gone |= set(number[lo:hi].tolist())
         assert got[i] == ",".join(map(str, sorted(gone)))
+
+
+def test_lines_runs_of_many_words(spark):
+    """Every run of 50 words or more that stood before goes, whatever minima winnowing chose."""
+    rng = random.Random(23)
+    passages = [[f"passage {k} line {j} " + "word " * 26 for j in range(2 + k % 2)] for k in range(24)]
+    rows = []
+    for i in range(72):
+        text = [f"own {i} {j}" for j in range(rng.randint(0, 4))]
+        at = rng.randrange(len(text) + 1)
+        rows.append((i, "\n".join(text[:at] + passages[i % 24] + text[at:])))
+    found = {r["doc_id"]: r["removed"] for r in lines.digest(as_table(spark, rows)).collect()}
+    split = {i: t.split("\n") for i, t in rows}
+    seen, runs = set(), 0
+    for i, text in split.items():
+        gone = {int(x) for x in found[i].split(",") if x}
+        mine = [(a, b) for a in range(len(text)) for b in range(a + 1, len(text) + 1)]
+        for a, b in mine:
+            if tuple(text[a:b]) in seen and sum(len(x.split()) for x in text[a:b]) >= 50:
+                runs += 1
+                assert set(range(a, b)) <= gone, (i, a, b)
+        seen |= {tuple(text[a:b]) for a, b in mine}
+        assert not any(text[k].startswith("own") for k in gone)
+    assert runs >= 48

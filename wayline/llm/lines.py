@@ -2,15 +2,17 @@
 
 A line is known by a hash of its words (A-Z folded; blank lines don't count).
 Fingerprints are runs of GRAM lines, chosen by winnowing: of every WINDOW
-consecutive runs the one with the smallest hash; a line of LONG_WORDS words or
-more is a fingerprint by itself. Fingerprints are joined to the place where
+consecutive runs the one with the smallest hash, and every run that has
+LONG_WORDS words or more; a line of LONG_WORDS words or more is a fingerprint by
+itself. Fingerprints are joined to the place where
 their content stands first in the corpus, by (doc_id, position). Each match is
 extended both ways as long as the lines agree; the later copy of a run of at
 least GRAM lines, or with LONG_WORDS words, is deleted.
 
 So every run of GRAM + WINDOW - 1 lines or more that stood before is found: of
-its lines at most WINDOW - 1 at either end stay. The first copy of a
-fingerprint always stays.
+its lines at most WINDOW - 1 at either end stay. Of a shorter run with LONG_WORDS
+words that stood before nothing stays. The first copy of a fingerprint always
+stays.
 
 Only hashes move, and of each content one first place: a line in a third of all
 documents is counted before it shuffles, and its first place is broadcast with
@@ -66,7 +68,9 @@ def winnow(lines: np.ndarray, words: np.ndarray, gram: int, window: int, long_wo
         wide = min(window, n)
         view = np.lib.stride_tricks.sliding_window_view(grams, wide)
         # the rightmost of equal minima
-        chosen = np.unique(np.arange(len(view)) + wide - 1 - view[:, ::-1].argmin(1))
+        least = np.arange(len(view)) + wide - 1 - view[:, ::-1].argmin(1)
+        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(words, dtype=np.int64)])
+        chosen = np.union1d(least, np.flatnonzero(upto[gram:] - upto[:n] >= long_words))
         keys.append(grams[chosen])
         at.append(chosen)
         size.append(np.full(len(chosen), gram, np.int64))
