@@ -157,6 +157,24 @@ def test_pii(spark, docs, empty):
     assert pii.digest(pii.find(empty)).count() == 0
 
 
+def test_pii_marks_whole_documents(spark):
+    """A disclosing term goes wherever it stands in a document with the entity, short words and numbers too."""
+    rows = [(i, prose(9000 + i, 30).replace("\n", " ")) for i in range(40)]
+    for i in range(6):
+        far = prose(9100 + i, 40).replace("\n", " ")
+        rows.append((100 + i, f"{far} Zanzibarius 48213 王芳 {far} Zanzibarius 48213 王芳 wrote anna@example.org {far} Zanzibarius, 48213; 王芳"))
+    rows.append((200, "Zanzibarius never met bob@example.org here"))
+    found = {r["doc_id"]: r["spans"] for r in pii.find(as_table(spark, rows)).collect()}
+    for i in range(6):
+        text = dict(rows)[100 + i]
+        told = [text[s["start"] : s["end"]] for s in found[100 + i] if s["kind"] == 4]
+        for term in ("Zanzibarius", "48213", "王芳"):
+            assert told.count(term) == text.count(term) == 3
+        clean = pii.masked(text, [(s["start"], s["kind"], s["end"], s["removed"]) for s in found[100 + i]])
+        assert "48213" not in clean and "王芳" not in clean and "Zanzibarius" not in clean
+    assert not any(s["kind"] == 4 for i in (*range(40), 200) for s in found[i])
+
+
 def test_term_counts():
     texts = [prose(i, 50) for i in range(40)] + [None, ""]
     batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 7], pa.string())], names=["text"]) for i in range(0, len(texts), 7)]

@@ -8,13 +8,15 @@ the entity, n(e,t) of documents with the term among the CONTEXT words on either
 side of the entity. It is at most the entity's information content,
 -log2(n(e) / N), reached when the term never stands without it. Terms whose
 share of it is ALPHA or more disclose the entity, if they met it in at least
-SUPPORT different contexts, so copies of one text are no evidence. In a
-document that holds the entity, such a term beside it becomes a span: removed
-when it never stands without the entity, else generalised to a word class.
+SUPPORT different contexts, so copies of one text are no evidence. Short words
+and numbers are terms like others. In a document that holds the entity, every
+occurrence of such a term, however far from it, becomes a span: removed when it
+never stands without the entity, else generalised to a word class.
 
-Counts are exact and distributed; only (term, count) pairs and context terms
-shuffle, never texts, and a pair that most documents share is counted before
-it moves.
+Counts are exact and distributed; (term, count) pairs and context terms
+shuffle, and a pair that most documents share is counted before it moves. For
+the second pass, terms of documents with entities that a bitmap of the
+disclosing terms does not clear shuffle, and texts that hold such a term may.
 
 Edge cases: a null text is empty. Rows that repeat an id count each on its
 own. A null id stays null. Other columns are ignored. An empty table gives an
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 
 from ..ship import ship
 from .common import WHITE, Words, attach, materialize, text_blocks
+from .exact_dedup import _CELL, filter_bits, maybe_repeated
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT = 8
@@ -100,42 +103,84 @@ def entity(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """(entity, term, start, end, context) of the terms beside each span; context: a hash of all of the span's terms."""
+def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Distinct (entity, term, context) of the terms beside each span; context: a hash of all of the span's terms."""
     words = [(m.start(), m.end()) for m in _TERM.finditer(text)]
-    starts, out = [w[0] for w in words], []
+    starts, out = [w[0] for w in words], set()
     taken = [(s, e) for s, _, e in spans]
     for start, kind, end in spans:
         at = bisect.bisect_left(starts, start)
         after = bisect.bisect_left(starts, end)
         near = [w for w in words[max(0, at - CONTEXT) : at] + words[after : after + CONTEXT] if not any(s < w[1] and w[0] < e for s, e in taken)]
-        near = [w for w in near if w[1] - w[0] >= 3 and not text[w[0] : w[1]].isdigit()]
         if near:
             hashes = Words([" ".join(text[s:e] for s, e in near).encode("utf-8", "replace")], _BETWEEN).hash.view(np.int64).tolist()
             whole = int.from_bytes(hashlib.blake2b(repr(hashes).encode(), digest_size=8).digest(), "little", signed=True)
             who = entity(kind, text[start:end])
-            out.extend((who, t, s, e, whole) for t, (s, e) in zip(hashes, near, strict=True))
+            out.update((who, t, whole) for t in hashes)
+    return sorted(out)
+
+
+def occurrences(text: str, spans: list[tuple[int, int]], terms: dict[int, bool]) -> list[tuple[int, int, bool]]:
+    """(start, end, value) of every place of the terms outside the spans (sorted by start)."""
+    words = [(m.start(), m.end()) for m in _TERM.finditer(text)]
+    hashes = Words([" ".join(text[s:e] for s, e in words).encode("utf-8", "replace")], _BETWEEN).hash.view(np.int64).tolist()
+    out, at, reach = [], 0, 0
+    for (s, e), t in zip(words, hashes, strict=True):
+        while at < len(spans) and spans[at][0] < e:
+            reach = max(reach, spans[at][1])
+            at += 1
+        if t in terms and s >= reach:
+            out.append((s, e, terms[t]))
     return out
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-_NEAR = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("context", pa.int64())]))
-_FOUND = "doc_id bigint, base array<struct<start:bigint,kind:int,end:bigint>>, near array<struct<e:bigint,t:bigint,start:bigint,end:bigint,context:bigint>>"
+_NEAR = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("context", pa.int64())]))
+_FOUND = "doc_id bigint, base array<struct<start:bigint,kind:int,end:bigint>>, near array<struct<e:bigint,t:bigint,context:bigint>>, entities array<bigint>, held string"
+_ADDED = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("removed", pa.bool_())]))
 
 
 def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     marks = re.compile(rb"[0-9@]")
     for batch, texts in text_blocks(batches):
-        base, near = [], []
+        base, near, entities, held = [], [], [], []
         for raw in texts:
-            spans, beside = [], []
+            spans, beside, text = [], [], ""
             if marks.search(raw):
                 text = raw.decode("utf-8", "replace")
                 spans = base_spans(text)
                 beside = contexts(text, spans) if spans else []
             base.append([dict(zip(("start", "kind", "end"), s, strict=True)) for s in spans])
-            near.append([dict(zip(("e", "t", "start", "end", "context"), c, strict=True)) for c in beside])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, _SPAN), pa.array(near, _NEAR)], names=["doc_id", "base", "near"])
+            near.append([dict(zip(("e", "t", "context"), c, strict=True)) for c in beside])
+            entities.append(sorted({entity(k, text[s:e]) for s, k, e in spans}))
+            held.append(text if spans else None)
+        columns = [batch.column("doc_id"), pa.array(base, _SPAN), pa.array(near, _NEAR), pa.array(entities, pa.list_(pa.int64())), pa.array(held, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "base", "near", "entities", "held"])
+
+
+def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, t): the distinct terms of each text."""
+    for batch, texts in text_blocks(batches):
+        w = Words(texts, _BETWEEN)
+        if not len(w.hash):
+            continue
+        distinct, which = np.unique(w.hash, return_inverse=True)
+        pair = np.unique(np.repeat(np.arange(len(texts)), np.diff(w.first)) * len(distinct) + which)
+        rid, t = batch.column("rid").to_numpy()[pair // len(distinct)], distinct[pair % len(distinct)].view(np.int64)
+        for at in range(0, len(t), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(rid[at : at + (1 << 16)]), pa.array(t[at : at + (1 << 16)])], names=["rid", "t"])
+
+
+def _mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in text_blocks(batches):
+        base, told = batch.column("base"), batch.column("told")
+        added = []
+        for i, raw in enumerate(texts):
+            terms = {x["t"]: x["always"] for x in told[i].as_py()}
+            taken = [(x["start"], x["end"]) for x in base[i].as_py()]
+            found = occurrences(raw.decode("utf-8", "replace"), taken, terms)
+            added.append([{"start": s, "kind": 4, "end": e, "removed": always} for s, e, always in found])
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(added, _ADDED)], names=["rid", "added"])
 
 
 def _term_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,18 +230,36 @@ def disclosing(near: DataFrame, docs: DataFrame, n_docs: int, alpha: float = ALP
     return scored.where((F.col("information") > 0) & (F.col("pmi") >= alpha * F.col("information")))
 
 
+def _told(found: DataFrame, told: DataFrame) -> DataFrame:
+    """(rid, told): of each document with an entity the terms anywhere in it that disclose one of its entities, with ``always``.
+
+    Of a term that discloses several, it is true if it is for any of them."""
+    holding = found.where("size(entities) > 0")
+    terms = told.select("t").distinct()
+    _, bits = filter_bits(terms)
+    cell = F.pmod(F.xxhash64("t"), F.lit(bits))
+    filled = terms.select(cell.alias("cell")).distinct().groupBy(F.expr(f"cell div {_CELL}").alias("bucket")).agg(F.bitmap_construct_agg(F.expr(f"cell % {_CELL}")).alias("bitmap"))
+    words = holding.select("rid", F.col("held").alias("text")).mapInArrow(_terms, "rid bigint, t bigint")
+    words = materialize(maybe_repeated(words.withColumn("h", F.xxhash64("t")), filled, bits).where("maybe").select("rid", "t"), "pii-words")
+    sizes = words.groupBy(F.col("t").alias("_t")).agg(F.count(F.lit(1)).alias("n"))
+    facts = told.groupBy("t").agg(F.collect_list(F.struct("e", "always")).alias("es")).join(sizes, F.col("t") == F.col("_t")).select("t", "n", "es")
+    met = attach(words, materialize(facts, "pii-facts"), "t", "n", max(words.count(), 1)).where("n is not null")
+    met = met.select("rid", "t", F.explode("es").alias("x")).select("rid", "t", "x.e", "x.always")
+    own = holding.select(F.col("rid").alias("_rid"), F.explode("entities").alias("_e"))
+    met = met.join(own, (F.col("rid") == F.col("_rid")) & (F.col("e") == F.col("_e")), "left_semi")
+    return met.groupBy("rid", "t").agg(F.max("always").alias("always")).groupBy("rid").agg(F.collect_list(F.struct("t", "always")).alias("told"))
+
+
 def find(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, base and added spans (start, kind, end, removed) sorted by start and kind."""
     ship(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     found = materialize(rows.mapInArrow(_find, _FOUND).withColumn("rid", F.monotonically_increasing_id()), "pii")
     n_docs = found.count()
-    near = found.where("size(near) > 0").select("rid", F.explode("near").alias("x")).select("rid", "x.e", "x.t", "x.start", "x.end", "x.context")
-    once = near.select("rid", "e", "t", "context").distinct()
-    told = materialize(disclosing(once, docs, n_docs), "pii-terms").withColumn("pair", F.concat_ws(":", "e", "t")).select("pair", "n_et", "always")
-    # of a term beside several entities one span is left, removed if any of them asks for that
-    beside = attach(near.withColumn("pair", F.concat_ws(":", "e", "t")), told, "pair", "n_et", n_docs).where("n_et is not null")
-    added = beside.groupBy("rid", "start", "end").agg(F.max("always").alias("removed")).groupBy("rid").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "removed")).alias("added"))
+    near = found.where("size(near) > 0").select("rid", F.explode("near").alias("x")).select("rid", "x.e", "x.t", "x.context")
+    told = materialize(disclosing(near, docs, n_docs), "pii-terms").select("e", "t", "always")
+    added = found.select("rid", "base", F.col("held").alias("text")).join(_told(found, told).withColumnRenamed("rid", "_rid"), F.col("rid") == F.col("_rid")).select("rid", "base", "text", "told")
+    added = added.mapInArrow(_mark, "rid bigint, added array<struct<start:bigint,kind:int,end:bigint,removed:boolean>>")
     joined = found.join(added.withColumnRenamed("rid", "_rid"), F.col("rid") == F.col("_rid"), "left")
     base = F.expr("transform(base, s -> struct(s.start as start, s.kind as kind, s.end as end, false as removed))")
     return joined.select("doc_id", "base", F.array_sort(F.concat(base, F.coalesce("added", F.expr("array()").cast("array<struct<start:bigint,kind:int,end:bigint,removed:boolean>>")))).alias("spans"))
