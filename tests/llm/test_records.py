@@ -175,6 +175,18 @@ def test_pii_marks_whole_documents(spark):
     assert not any(s["kind"] == 4 for i in (*range(40), 200) for s in found[i])
 
 
+def test_pii_counts_documents(spark):
+    """A document that repeats an entity in many contexts counts once."""
+    from wayline.llm.common import Words
+
+    t = int(Words([b"alpha"], pii._BETWEEN).hash.view(np.int64)[0])
+    docs = spark.createDataFrame([("alpha",)] * 4 + [("beta",)] * 96, "text string")
+    near = spark.createDataFrame([(0, 1, t, c) for c in range(5)], "rid bigint, e bigint, t bigint, context bigint")
+    assert pii.disclosing(near, docs, 100).count() == 0
+    (row,) = pii.disclosing(near, docs, 100, alpha=0.5).collect()
+    assert row["n_et"] == 1 and not row["always"] and row["pmi"] <= row["information"]
+
+
 def test_term_counts():
     texts = [prose(i, 50) for i in range(40)] + [None, ""]
     batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 7], pa.string())], names=["text"]) for i in range(0, len(texts), 7)]

@@ -218,8 +218,9 @@ def disclosing(near: DataFrame, docs: DataFrame, n_docs: int, alpha: float = ALP
     """(e, t, n_et, pmi, information, always) of the terms that reveal an entity.
 
     ``near``: distinct (rid, e, t, context)."""
-    by_context = near.groupBy("e", "t", "context").agg(F.count(F.lit(1)).alias("n"))
-    pairs = by_context.groupBy("e", "t").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("support")).where(F.col("support") >= support)
+    supported = near.select(F.col("e").alias("_ee"), F.col("t").alias("_tt"), "context").distinct().groupBy("_ee", "_tt").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= support)
+    pairs = near.select("rid", "e", "t").distinct().groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_et"))
+    pairs = pairs.join(supported, (F.col("e") == F.col("_ee")) & (F.col("t") == F.col("_tt")), "left_semi")
     holders = near.select("rid", "e", "context").distinct().groupBy("e", "rid").agg(F.lit(1).alias("one")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
     holders = holders.withColumnRenamed("e", "_e")
     counts = docs.select(docs["text"].alias("text")).mapInArrow(_term_counts, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n_t")).withColumnRenamed("t", "_t")
