@@ -127,6 +127,13 @@ def test_base_spans():
     assert pii.base_spans("9" * 100_000) == [] and pii.base_spans("a" * 100_000 + "@") == []
 
 
+def test_ip_parts_of_any_length():
+    for n in (4500, 6000):
+        t = "0" * n + "1.2.3.255"
+        assert pii.base_spans(t) == [(0, 1, len(t))]
+        assert pii.base_spans("9" * n + ".2.3.4") == pii.base_spans("0" * n + "256.2.3.4") == []
+
+
 def test_pii(spark, docs, empty):
     rows = list(awkward())
     for i in range(12):  # one address in different company, always beside the same rare words

@@ -85,7 +85,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end), sorted; kinds are numbers of KINDS."""
     out = [(s, 0, e) for s, e in emails(text)] if "@" in text else []
     for m in _IP.finditer(text):
-        if all(len(p) < 5000 and int(p) <= 255 for p in m.groups()):
+        parts = [p.lstrip("0") for p in m.groups()]
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
