@@ -330,6 +330,28 @@ def test_mixing(spark, empty):
     assert mixing.rates(mixing.fit(docs, labels.limit(0))).count() == 600
 
 
+def test_mixing_sources_past_the_cap(spark, monkeypatch):
+    """Each source past MAX_DOMAINS meets its own target, given or not."""
+    monkeypatch.setattr(mixing, "MAX_DOMAINS", 2)
+    rows = [(i, prose(i, 30), "en", f"s{min(i % 12, 5)}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 120, 2)], "doc_id bigint, quality int")
+    m = mixing.fit(docs, labels, {f"s{i}": i + 1.0 for i in range(6)})
+    got = {r["domain"]: r for r in m.totals().collect()}
+    assert sorted(got) == [f"s{i}" for i in range(6)]
+    unit = got["s0"]["target"]
+    past = set(got) - set(m.kept)
+    for s in past:
+        assert got[s]["target"] == pytest.approx((int(s[1]) + 1) * unit) and got[s]["expected"] == pytest.approx(got[s]["target"])
+    each = mixing.rates(m).toPandas()
+    assert len(each) == 120 and set(each[each["source"].isin(past)]["domain"]) == past
+    for s in past:
+        mine = each[each["source"] == s]
+        assert (mine["rate"] * mine["tokens"]).sum() == pytest.approx(got[s]["target"])
+    taken = Counter(r["doc_id"] for r in mixing.take(docs, m).collect())
+    assert taken == Counter({i: c for i, c in zip(each["doc_id"], each["copies"], strict=True) if c})
+
+
 def test_mixing_odd_rows(spark, docs):
     labels = spark.createDataFrame([(7, 1), (9, 0)], "doc_id bigint, quality int")
     m = mixing.fit(docs, labels, min_rate=1.0, temper=0.9)

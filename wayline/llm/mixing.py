@@ -21,7 +21,8 @@ hash of its id falls below the rest, so repeated runs agree.
 
 Edge cases: a null text has no tokens. Null or unlisted sources have no domain
 of their own but still belong softly. Sources beyond the MAX_DOMAINS with the
-most tokens form one domain, ``(other)``. Targets for sources without documents
+most tokens each keep a target and a rate of their own, in a distributed table:
+their documents belong to their source alone, at target / tokens. Targets for sources without documents
 can't be met and stay as residue in ``totals``. Without labelled rows a pseudo-count
 ties each source to its domain. An empty table gives an empty result.
 """
@@ -33,7 +34,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import attach, materialize
 
 MAX_DOMAINS, MAX_LANGS = 255, 15
 TEMPER = 0.7
@@ -70,9 +71,16 @@ class Mix:
     natural: list[float]
     reached: list[float]
     steps: int
+    rest: DataFrame | None = None  # source, docs, natural, target, rate of the sources past MAX_DOMAINS
 
     def totals(self) -> DataFrame:
         spark = self.rows.sparkSession
+        soft = self._soft(spark)
+        if self.rest is None:
+            return soft
+        return soft.unionByName(self.rest.select(F.col("source").alias("domain"), "natural", "target", F.expr("rate * natural").alias("expected")))
+
+    def _soft(self, spark) -> DataFrame:
         return spark.createDataFrame(list(zip(self.domains, self.natural, self.targets, self.reached, strict=True)), "domain string, natural double, target double, expected double")
 
 
@@ -140,20 +148,40 @@ def fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     kept, more = _largest(rows, "source", MAX_DOMAINS)
     langs, _ = _largest(rows, "lang", MAX_LANGS)
     fielded = _with_fields(rows, kept, langs)
-    domains = sorted(kept) + ([OTHER] if more else [])
+    domains = sorted(kept)
     if not domains:
         cells = fielded.groupBy(*FEATURES).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).withColumn("p", F.expr("cast(array() as array<double>)")).withColumn("rate", F.lit(float(max(min_rate, 1.0))))
         return Mix(fielded, cells, [], kept, langs, [], [], [], 0)
-    cells = materialize(fielded.groupBy(*FEATURES).agg(F.sum("tokens").cast("double").alias("tokens"), F.count(F.lit(1)).alias("n")), "mix-cells")
+    rest = None
+    if more:
+        past = rows.where(F.col("source").isNotNull() & ~F.col("source").isin(kept))
+        rest = past.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").cast("double").alias("natural"))
+        if weights:
+            given = rows.sparkSession.createDataFrame([(s, max(float(w), 0.0)) for s, w in weights.items()], "_s string, w double")
+            rest = rest.join(given, F.col("source") == F.col("_s"), "left").select("source", "docs", "natural", F.coalesce("w", F.lit(0.0)).alias("raw"))
+        else:
+            rest = rest.withColumn("raw", F.pow("natural", F.lit(float(temper))))
+        rest = materialize(rest, "mix-rest")
+    soft = fielded.where(F.col("source").isNull() | F.col("source").isin(kept)) if more else fielded
+    cells = materialize(soft.groupBy(*FEATURES).agg(F.sum("tokens").cast("double").alias("tokens"), F.count(F.lit(1)).alias("n")), "mix-cells")
     labelled = labels.select(labels["doc_id"].cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    cells = materialize(posteriors(fielded, labelled, cells, domains), "mix-posteriors")
+    cells = materialize(posteriors(soft, labelled, cells, domains), "mix-posteriors")
     d = len(domains)
     natural = _sums(cells, "tokens", d)
     whole = sum(natural)
     raw = [max(float(weights.get(s, 0.0)), 0.0) for s in domains] if weights else [n**temper for n in natural]
-    share = [x / (sum(raw) or 1.0) for x in raw]
-    total = max([whole, *(min_rate * n / w for n, w in zip(natural, share, strict=True) if w > 0)]) if min_rate else whole
+    scale, most = sum(raw), 0.0
+    if rest is not None:
+        held = rest.agg(F.sum("natural"), F.sum("raw"), F.max(F.when(F.col("raw") > 0, F.col("natural") / F.col("raw")))).first()
+        whole, scale, most = whole + held[0], scale + held[1], held[2] or 0.0
+    scale = scale or 1.0
+    share = [x / scale for x in raw]
+    total = max([whole, *(min_rate * n / w for n, w in zip(natural, share, strict=True) if w > 0), min_rate * most * scale]) if min_rate else whole
     targets = [w * total for w in share]
+    if rest is not None:
+        target = F.col("raw") / F.lit(scale) * F.lit(total)
+        rate = F.greatest(F.lit(float(min_rate)), F.when(F.col("natural") > 0, target / F.col("natural")).otherwise(1.0))
+        rest = materialize(rest.select("source", "docs", "natural", target.alias("target"), rate.alias("rate")), "mix-rest-rates")
     cells = cells.withColumn("rate", F.lit(float(max(min_rate, 1.0))))
     step, before = 0, None
     while True:
@@ -167,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
         moved = cells.withColumn("rate", F.greatest(F.lit(float(min_rate)), F.expr(f"rate - ({slope})")))
         step += 1
         before, cells = reached, materialize(moved, f"mix-step{step}")
-    return Mix(fielded, cells, domains, kept, langs, targets, natural, reached, step)
+    return Mix(fielded, cells, domains, kept, langs, targets, natural, reached, step, rest)
 
 
 def _copies(rate: Column, doc_id: Column) -> Column:
@@ -181,9 +209,13 @@ def rates(mix: Mix) -> DataFrame:
     named = F.array(*[F.lit(s) for s in mix.domains]) if mix.domains else F.expr("cast(array() as array<string>)")
     best = F.expr("array_position(p, array_max(p))").cast("int")
     cells = mix.cells.select(*[F.col(f).alias(f"_{f}") for f in FEATURES], "rate", F.when(F.size("p") > 0, F.element_at(named, F.greatest(best, F.lit(1)))).alias("domain") if mix.domains else F.lit(None).cast("string").alias("domain"), F.array_max("p").alias("membership"))
-    joined = mix.rows
+    joined = mix.rows if mix.rest is None else mix.rows.where(F.col("source").isNull() | F.col("source").isin(mix.kept))
     on = [F.col(f) == F.col(f"_{f}") for f in FEATURES]
     joined = joined.join(F.broadcast(cells), on)
+    if mix.rest is not None:
+        past = mix.rows.where(F.col("source").isNotNull() & ~F.col("source").isin(mix.kept))
+        past = attach(past.select("doc_id", "source", "tokens"), mix.rest.select("source", "docs", "rate"), "source", "docs", max(mix.rows.count(), 1))
+        joined = joined.select("doc_id", "source", "tokens", "domain", "membership", "rate").unionByName(past.select("doc_id", "source", "tokens", F.col("source").alias("domain"), F.lit(1.0).alias("membership"), "rate"))
     return joined.select("doc_id", "source", "tokens", "domain", "membership", "rate", _copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
@@ -195,6 +227,12 @@ def take(docs: DataFrame, mix: Mix) -> DataFrame:
     row = row.withColumn("f_word", F.least(F.floor(chars / F.greatest("n", F.lit(1)) / 3), F.lit(3)).cast("string"))
     row = row.withColumn("f_source", _pooled(F.col("x.source").cast("string"), mix.kept)).withColumn("f_lang", _pooled(F.col("x.lang").cast("string"), mix.langs))
     cells = mix.cells.select(*[F.col(f).alias(f"_{f}") for f in FEATURES], "rate")
-    joined = row.join(F.broadcast(cells), [F.col(f) == F.col(f"_{f}") for f in FEATURES])
+    source = F.col("x.source").cast("string")
+    soft = row if mix.rest is None else row.where(source.isNull() | source.isin(mix.kept))
+    joined = soft.join(F.broadcast(cells), [F.col(f) == F.col(f"_{f}") for f in FEATURES])
+    if mix.rest is not None:
+        past = row.withColumn("source", source).where(F.col("source").isNotNull() & ~F.col("source").isin(mix.kept))
+        past = attach(past.select("row", "x", "source"), mix.rest.select("source", "docs", "rate"), "source", "docs", max(mix.rows.count(), 1), spread="x")
+        joined = joined.select("row", "x", "rate").unionByName(past.select("row", "x", "rate"))
     copies = joined.withColumn("copies", _copies(F.col("rate"), F.col("x.doc_id").cast("long"))).where("copies > 0")
     return copies.select("row", F.explode(F.expr("sequence(1, copies)")).alias("copy")).select("row.*")
