@@ -26,6 +26,9 @@ from ..ship import ship
 # most so many of them, which bounds what ``attach`` broadcasts.
 HOT_SHARE = 1000
 
+# Rows that share one copy of a key's facts in ``fetch``.
+PER_COPY = 512
+
 # Bytes of text handled at once in a Python worker (one longer text is handled alone).
 BLOCK_BYTES = 1 << 20
 
@@ -64,6 +67,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run in the shared folder, by name; ``drop`` deletes those whose readers have all written their results."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.paths = spark, label, {}
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.paths[name] = fresh_path(self.spark, f"{self.label}-{name}")
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names or list(self.paths):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, spread: str | None = None) -> DataFrame:
     """``rows`` left-joined with the facts of their group, for any distribution of ``key``.
 
@@ -87,6 +107,18 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int,
     return joined.select(*rows.columns, *[F.coalesce(F.col(f"_h_{c}"), F.col(f"_c_{c}")).alias(c) for c in facts])
 
 
+def fetch(rows: DataFrame, key: str, facts: DataFrame, salt_by: str, n_rows: int, per: int = PER_COPY) -> DataFrame:
+    """``rows`` joined with the one row of ``facts`` (which has a column ``key`` too) for their key, for any distribution of it.
+
+    The facts of a key that more than ``per`` rows use are copied once for so
+    many rows, and these are dealt out over the copies by a hash of ``salt_by``."""
+    uses = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_uses")).where(F.col("_uses") > per)
+    salted = attach(rows, uses, key, "_uses", n_rows).withColumn("_salt", F.expr(f"cast(pmod(xxhash64({salt_by}), coalesce(ceil(_uses / {per}), 1)) as int)")).drop("_uses")
+    wide = facts.join(uses.withColumnRenamed(key, "_ukey"), F.col(key) == F.col("_ukey"), "left")
+    wide = wide.withColumn("_copy", F.explode(F.expr(f"sequence(0, cast(coalesce(ceil(_uses / {per}), 1) as int) - 1)"))).drop("_uses", "_ukey").withColumnRenamed(key, "_fkey")
+    return salted.join(wide, (F.col(key) == F.col("_fkey")) & (F.col("_salt") == F.col("_copy"))).drop("_fkey", "_salt", "_copy")
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, and nothing of what else the table carries."""
     return df.select(*[df[n] for n in names])
@@ -202,12 +234,16 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(divisor))
 
 
+SAMPLE_BYTES = 24 << 20  # of texts in a training sample
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, out: int, bounds: dict[int, int]) -> DataFrame:
-    """(doc_id, text, label) of at most ``bounds[v]`` documents labelled v, whose remainder is not ``out``.
+    """(doc_id, text, label, place) of at most ``bounds[v]`` documents labelled v, whose remainder is not ``out``.
 
-    The sample is the rows with the smallest hashes, so it is the same in each
-    run; an id with several labels takes the smallest. The ids, bounded by the
-    bounds, are broadcast to the documents."""
+    The sample is the ids with the smallest hashes, so it is the same in each
+    run; ``place`` orders it. An id with several labels takes the smallest, one
+    that stands more than once in ``docs`` its smallest text. The ids, bounded by
+    the bounds, are broadcast to the documents."""
     ship(docs.sparkSession)
     one = labels.where(labels["doc_id"].isNotNull() & labels[label].isNotNull()).groupBy(labels["doc_id"].cast("long").alias("sample_id")).agg(F.min(labels[label]).cast("int").alias("label"))
     one = one.where(remainder(F.col("sample_id"), divisor) != out)
@@ -216,7 +252,37 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int
     for more in parts[1:]:
         ids = ids.unionByName(more)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return rows.join(F.broadcast(ids), rows["doc_id"] == ids["sample_id"]).select("doc_id", "text", "label")
+    met = rows.join(F.broadcast(ids), rows["doc_id"] == ids["sample_id"])
+    return met.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("label").alias("label")).withColumn("place", F.xxhash64("doc_id"))
+
+
+def train_remotely(sample: DataFrame, fit, most_bytes: int = SAMPLE_BYTES):
+    """What ``fit`` makes of (texts, labels) of the sample, trained in one task of an executor.
+
+    The driver gets the model alone. The task holds at most ``most_bytes`` of
+    texts: it takes them in order of place, and passes over what no longer fits.
+    A task that is run again trains on the same rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pickle
+
+        kept, left = [], most_bytes
+        for batch in batches:
+            for doc_id, text, label in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "label")), strict=True):
+                raw = (text or "").encode()
+                if len(raw) <= left:
+                    kept.append((doc_id, raw, label))
+                    left -= len(raw)
+        kept.sort(key=lambda row: row[0])
+        model = pickle.dumps(fit([k[1] for k in kept], np.array([k[2] for k in kept], np.int64)))
+        for at in range(0, len(model), 1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([model[at : at + (1 << 20)]], pa.binary())], names=["at", "part"])
+
+    import pickle
+
+    one = sample.select("place", "doc_id", "text", "label").repartition(1).sortWithinPartitions("place", "doc_id")
+    parts = one.mapInArrow(run, "at bigint, part binary").collect()  # the model: of bounded size, as the sample is
+    return pickle.loads(b"".join(bytes(p["part"]) for p in sorted(parts, key=lambda p: p["at"])))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

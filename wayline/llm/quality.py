@@ -10,8 +10,8 @@ Only documents are labelled, so lines start with the label of their document;
 after a first fit, lines of bad documents that the model finds good are
 relabelled good, but for each document's worst line, and the model is fitted again.
 
-Fitting takes a bounded sample (SAMPLE documents of each label) to the driver,
-as features, not texts. Scoring is one pass without a shuffle, a block of
+Fitting takes a bounded sample (SAMPLE documents of each label, SAMPLE_BYTES of text)
+in one task of an executor. Scoring is one pass without a shuffle, a block of
 texts at a time.
 
 Edge cases: a null, empty or blank text has no lines and gets the share of
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import Words, labelled_sample, remainder, text_blocks
+from .common import BLOCK_BYTES, Words, labelled_sample, remainder, text_blocks, train_remotely
 
 SAMPLE = {0: 3000, 1: 3000}
 THRESHOLD = 0.3
@@ -184,20 +184,24 @@ def scores(chain: Chain, texts: list[bytes]) -> np.ndarray:
     return np.where(total > 0, (top[first[1:]] - top[first[:-1]]) / np.where(total > 0, total, 1), chain.prior)
 
 
-def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in text_blocks(batches):
-        x, _, first = line_features(texts)
-        flat = [x[first[i] : first[i + 1]].astype("<f4").tobytes() for i in range(len(texts))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(flat, pa.binary())], names=["doc_id", "label", "x"])
+def fit_texts(texts: list[bytes], label: np.ndarray) -> Chain:
+    """A chain from whole texts; their features are made a block at a time."""
+    xs, counts, at = [], [], 0
+    while at < len(texts):
+        end, held = at, 0
+        while end < len(texts) and (end == at or held + len(texts[end]) <= BLOCK_BYTES):
+            held += len(texts[end])
+            end += 1
+        x, _, first = line_features(texts[at:end])
+        xs.append(x.astype(np.float32))
+        counts.append(np.diff(first))
+        at = end
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]))]).astype(np.int64)
+    return fit(np.concatenate([np.zeros((0, 3 * N_OWN), np.float32), *xs]).astype(np.float64), first, label)
 
 
 def train(docs: DataFrame, labels: DataFrame, bounds: dict[int, int] = SAMPLE) -> Chain:
-    sample = labelled_sample(docs, labels, "quality", *HELD_OUT, bounds)
-    rows = sample.mapInArrow(_features, "doc_id bigint, label int, x binary").toArrow().sort_by("doc_id")
-    xs = [np.frombuffer(x, "<f4").reshape(-1, 3 * N_OWN) for x in rows["x"].to_pylist()]
-    first = np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int64)
-    x = np.concatenate([np.zeros((0, 3 * N_OWN), np.float32), *xs]).astype(np.float64)
-    return fit(x, first, rows["label"].to_numpy())
+    return train_remotely(labelled_sample(docs, labels, "quality", *HELD_OUT, bounds), fit_texts)
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:

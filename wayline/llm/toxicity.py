@@ -12,7 +12,7 @@ Only documents are labelled. Training starts from the windows of toxic
 documents whose words are the most over-represented there, and then takes the
 windows that the network itself finds worst; windows of other documents are all
 negative, the hard ones are kept. Everything is numpy. Training takes a
-bounded sample (SAMPLE documents of each label) on the driver; scoring is one
+bounded sample (SAMPLE documents of each label, SAMPLE_BYTES of text) in one task; scoring is one
 pass without a shuffle over every window of every text.
 
 Edge cases: null texts, and texts without words, get the score of an empty
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import WHITE, Words, labelled_sample, remainder, text_blocks
+from .common import WHITE, Words, labelled_sample, remainder, text_blocks, train_remotely
 
 SAMPLE = {0: 1800, 1: 900}
 THRESHOLD = 0.7
@@ -398,9 +398,7 @@ def _calibrate(logit: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, bounds: dict[int, int] = SAMPLE) -> Network:
-    rows = labelled_sample(docs, labels, "toxic", *HELD_OUT, bounds).toArrow().sort_by("doc_id")
-    texts = [(t or "").encode() for t in rows["text"].to_pylist()]
-    return fit(texts, rows["label"].to_numpy())
+    return train_remotely(labelled_sample(docs, labels, "toxic", *HELD_OUT, bounds), fit)
 
 
 def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
