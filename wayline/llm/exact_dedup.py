@@ -8,10 +8,11 @@ cells hit more than once. Only rows that pass - repeated texts and a few false
 positives - shuffle to be grouped; all others are unique and go straight
 through.
 
-The bitmap has BITS_PER_ROW bits a row up to MAX_BITS, so at most 32 MB are
-broadcast at any input size. Past that bound the share of false positives
-rises and more rows shuffle; the result stays exact, as the grouping is by the
-whole SHA-256 digest.
+The bitmap has BITS_PER_ROW bits a row. Rows that need more than MAX_BITS, of
+which 256 MB are broadcast, are dealt by hash range into slices with a filter
+each, written next to each other without a shuffle and tested one after
+another; so the share of false positives is the same at any input size. The
+grouping is by the whole SHA-256 digest.
 
 Edge cases: a null text counts as the empty text. Null ids sort after all
 others. Among rows with the same smallest id exactly one stays. Other columns
@@ -23,11 +24,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import attach, materialize
+from .common import attach, fresh_path, materialize
 
 BITS_PER_ROW = 16
-MAX_BITS = 1 << 28
+MAX_BITS = 1 << 31
 _CELL = 32768  # bits of one bitmap of Spark's bitmap functions
 
 
@@ -50,20 +52,51 @@ def maybe_repeated(rows: DataFrame, filled: DataFrame, bits: int) -> DataFrame:
     return tested.select(*rows.columns, maybe.alias("maybe"))
 
 
-def filter_bits(rows: DataFrame) -> tuple[int, int]:
-    """Number of rows, and the bits of a filter for so many."""
-    n, bits = rows.count(), _CELL
+def _bits(n: int) -> int:
+    bits = _CELL
     while bits < MAX_BITS and bits < n * BITS_PER_ROW:
         bits *= 2
-    return n, bits
+    return bits
+
+
+def filter_bits(rows: DataFrame) -> tuple[int, int]:
+    """Number of rows, and the bits of a filter for so many."""
+    n = rows.count()
+    return n, _bits(n)
+
+
+def bitmap(hashes: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """(bucket, bitmap) of the cells of about ``n`` hashes h, for ``maybe_repeated``, and its bits.
+
+    Past MAX_BITS more rows pass than need to; callers join what passes exactly."""
+    bits = _bits(n)
+    cells = hashes.select(F.pmod("h", F.lit(bits)).alias("cell")).distinct()
+    return cells.groupBy(F.expr(f"cell div {_CELL}").alias("bucket")).agg(F.bitmap_construct_agg(F.expr(f"cell % {_CELL}")).alias("bitmap")), bits
+
+
+def maybe_twice(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` (with a hash h, ``n`` of them) with ``maybe``: false where the hash certainly stands once."""
+    slices, bits = -(-n * BITS_PER_ROW // MAX_BITS), _bits(n)
+    if slices <= 1:
+        return maybe_repeated(rows, repeated_cells(rows, bits), bits)
+    spark, path = rows.sparkSession, fresh_path(rows.sparkSession, "slices")
+    rows.withColumn("_slice", F.expr(f"cast(shiftrightunsigned(h, 40) % {slices} as int)")).write.partitionBy("_slice").parquet(path)
+    dealt = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_slice", T.IntegerType())])).parquet(path)
+    out = None
+    for i in range(slices):
+        own = dealt.where(F.col("_slice") == i).drop("_slice")
+        done = materialize(maybe_repeated(own, repeated_cells(own, bits), bits), "slice")
+        out = done if out is None else out.unionByName(done)
+    return out
 
 
-def _digests(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """(doc_id, text_sha256, h, rid) of every row, in the shared folder; rows; bits of the filter."""
+def _digests(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, text_sha256, h, rid, maybe) of every row; their number. All but ``maybe`` lies in the shared folder."""
     digest = F.sha2(normalized(docs["text"]).cast("binary"), 256)
     rows = docs.select(docs["doc_id"].alias("doc_id"), digest.alias("text_sha256"))
     rows = materialize(rows.withColumn("h", F.xxhash64("text_sha256")).withColumn("rid", F.monotonically_increasing_id()), "exact")
-    return rows, *filter_bits(rows)
+    n = rows.count()
+    return maybe_twice(rows, n), n
 
 
 def _groups(some: DataFrame) -> DataFrame:
@@ -73,8 +106,7 @@ def _groups(some: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows, n, bits = _digests(docs)
-    tested = maybe_repeated(rows, repeated_cells(rows, bits), bits)
+    tested, n = _digests(docs)
     alone = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     some = tested.where("maybe").select("doc_id", "text_sha256", "rid")
     joined = attach(some, _groups(some), "text_sha256", "group_size", n)
@@ -85,17 +117,18 @@ def find(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: of equal texts the one with the smallest id.
 
-    Pass two runs over the documents themselves: texts that the filter clears
-    never shuffle; the others meet the first id of their group."""
-    rows, n, bits = _digests(docs)
-    filled = repeated_cells(rows, bits)
-    some_rows = maybe_repeated(rows, filled, bits).where("maybe")
-    groups = materialize(_groups(some_rows).where("group_size > 1"), "exact-groups")
+    The hashes' groups give a second filter, of the repeated ones alone, for the
+    documents themselves: texts that it clears never shuffle; the others meet
+    the first id of their group."""
+    tested, n = _digests(docs)
+    groups = _groups(tested.where("maybe")).where("group_size > 1").withColumn("h", F.xxhash64("text_sha256"))
+    groups = materialize(groups, "exact-groups")
+    held, bits = bitmap(groups, max(groups.count(), 1))
     marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.sha2(normalized(docs["text"]).cast("binary"), 256).alias("text_sha256"))
-    tested = maybe_repeated(marked.withColumn("h", F.xxhash64("text_sha256")), filled, bits)
-    alone = tested.where("not maybe").select("row.*")
-    joined = attach(tested.where("maybe").select("row", "text_sha256"), groups, "text_sha256", "group_size", n, "row.doc_id")
-    staying = joined.where("group_size is null or row.doc_id <=> first.doc_id")
+    found = maybe_repeated(marked.withColumn("h", F.xxhash64("text_sha256")), held, bits)
+    alone = found.where("not maybe").select("row.*")
+    joined = attach(found.where("maybe").select("row", "text_sha256"), groups.drop("h"), "text_sha256", "group_size", n, "row.doc_id")
+    single = joined.where("group_size is null").select("row.*")
     # rows that repeat both id and text: one of them stays
-    staying = staying.withColumn("id", F.col("row.doc_id")).dropDuplicates(["id", "text_sha256"])
-    return alone.unionByName(staying.select("row.*"))
+    first = joined.where("group_size is not null and row.doc_id <=> first.doc_id").dropDuplicates(["text_sha256"])
+    return alone.unionByName(single).unionByName(first.select("row.*"))

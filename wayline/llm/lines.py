@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..ship import ship
 from .common import Words, attach, joint_hash, materialize, splitmix, text_blocks
-from .exact_dedup import _CELL, MAX_BITS, maybe_repeated
+from .exact_dedup import bitmap, maybe_repeated
 
 GRAM, WINDOW, LONG_WORDS = 2, 2, 50
 
@@ -180,11 +180,7 @@ def clean(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     Documents that a bitmap of the changed ones clears do not shuffle."""
     lost = found.where("size(gone) > 0").select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "gone")
-    n, bits = max(lost.count(), 1), _CELL
-    while bits < MAX_BITS and bits < n * 64:
-        bits *= 2
-    cell = F.pmod(F.xxhash64("_doc", "_th"), F.lit(bits))
-    held = lost.select(cell.alias("cell")).distinct().groupBy(F.expr(f"cell div {_CELL}").alias("bucket")).agg(F.bitmap_construct_agg(F.expr(f"cell % {_CELL}")).alias("bitmap"))
+    held, bits = bitmap(lost.select(F.xxhash64("_doc", "_th").alias("h")), max(lost.count(), 1))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc"), text_hash(docs).alias("th"))
     tested = maybe_repeated(rows.withColumn("h", F.xxhash64("doc", "th")), held, bits)
     joined = tested.where("maybe").join(lost, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")), "left")

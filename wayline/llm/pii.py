@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..ship import ship
 from .common import WHITE, Words, attach, materialize, text_blocks
-from .exact_dedup import _CELL, filter_bits, maybe_repeated
+from .exact_dedup import bitmap, maybe_repeated
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT = 8
@@ -238,9 +238,7 @@ def _told(found: DataFrame, told: DataFrame) -> DataFrame:
     Of a term that discloses several, it is true if it is for any of them."""
     holding = found.where("size(entities) > 0")
     terms = told.select("t").distinct()
-    _, bits = filter_bits(terms)
-    cell = F.pmod(F.xxhash64("t"), F.lit(bits))
-    filled = terms.select(cell.alias("cell")).distinct().groupBy(F.expr(f"cell div {_CELL}").alias("bucket")).agg(F.bitmap_construct_agg(F.expr(f"cell % {_CELL}")).alias("bitmap"))
+    filled, bits = bitmap(terms.select(F.xxhash64("t").alias("h")), max(terms.count(), 1))
     words = holding.select("rid", F.col("held").alias("text")).mapInArrow(_terms, "rid bigint, t bigint")
     words = materialize(maybe_repeated(words.withColumn("h", F.xxhash64("t")), filled, bits).where("maybe").select("rid", "t"), "pii-words")
     sizes = words.groupBy(F.col("t").alias("_t")).agg(F.count(F.lit(1)).alias("n"))
