@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayline.llm import exact_dedup, jaccard, lines
+from wayline.llm.common import Scratch, fetch
 
 from .conftest import as_table, awkward, prose
 
@@ -63,6 +64,24 @@ def test_filter_passes_unique_rows(spark):
     assert tested.join(repeated, "id").where("not maybe").count() == 0
 
 
+def test_slices_of_the_filter(spark, monkeypatch):
+    """More rows than one filter holds: as many filters, and no more false positives."""
+    monkeypatch.setattr(exact_dedup, "MAX_BITS", 1 << 16)
+    rows = spark.range(10_000).selectExpr("id", "xxhash64(if(id < 400, id div 2, id)) as h")
+    got = exact_dedup.maybe_twice(rows, 10_000)
+    assert got.count() == 10_000 and got.where("id < 400 and not maybe").count() == 0
+    assert got.where("id >= 400 and maybe").count() < 1200
+    found = exact_dedup.find(as_table(spark, [(i, f"text {i % 3000}") for i in range(5000)]))
+    assert found.where("kept").count() == 3000 and found.where("group_size = 2").count() == 4000
+
+
+def test_fetch_of_a_hot_key(spark):
+    rows = spark.range(5000).selectExpr("if(id < 4000, 7, id) as a", "id as b")
+    facts = spark.range(5000).selectExpr("id as a", "concat('f', id) as fact").where("a <> 4500")
+    got = fetch(rows, "a", facts, "b", 5000, per=100)
+    assert Counter(map(tuple, got.select("a", "b", "fact").collect())) == Counter((a, b, f"f{a}") for a, b in [(7 if i < 4000 else i, i) for i in range(5000)] if a != 4500)
+
+
 def brute_components(rows, width, share):
     sets = []
     for _, t in rows:
@@ -118,6 +137,17 @@ def test_jaccard_keep(spark, empty):
     assert jaccard.join(empty).count() == jaccard.keep(empty).count() == 0
 
 
+def test_jaccard_keep_goes_by_rows(spark):
+    """Null and repeated ids: each row stands for itself, and one of each component stays."""
+    base = prose(70, 80)
+    near, other = base + " more", prose(71, 80)
+    rows = [(1, base), (5, near), (5, other), (None, near + " still"), (6, other), (6, other), (9, ""), (None, None), (9, ""), (None, "lone words"), (None, prose(72, 60)), (None, prose(72, 60) + " end"), (None, prose(72, 60) + " end")]
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard.keep(as_table(spark, rows), 5, 80).collect())
+    ends = {t for (i, t) in kept if i is None and t and t.startswith(prose(72, 60))}
+    assert len(ends) == 1 and kept.pop((None, ends.pop())) == 1
+    assert kept == Counter([(1, base), (5, other), (9, ""), (9, ""), (None, None), (None, "lone words")])
+
+
 def test_jaccard_large_family(spark):
     """A large group of near copies of one text, most of them too far apart from each other."""
     r, base, rows = random.Random(5), prose(77, 150).split(" "), []
@@ -164,7 +194,7 @@ def test_signature_groups_stream_across_batches():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 200), (200, 150), (7, 7)] + [(1000, 1001 + i) for i in range(300)]
-    got = {r["sid"]: r["root"] for r in jaccard.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r["sid"]: r["root"] for r in jaccard.components(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark, "test")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 150: 100, 200: 100, **{1000 + i: 1000 for i in range(301)}}
 
 

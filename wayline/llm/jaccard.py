@@ -4,14 +4,15 @@ A document's set holds the distinct shingles of its words. Sets fall into size
 bands [l, l / similarity]; similar sets lie in one band or in neighbouring
 ones. For each pair of neighbouring bands the similarity bounds the Hamming
 distance by some k. The feature domain, 64-bit hashes, is cut into n1 x n2
-ranges; at least one of the n1 first-level partitions holds at most k2 of the
-k differences, so some n2 - k2 of its n2 second-level partitions agree. A
-signature is the content of one such subset: similar sets share one for sure.
-Where the subsets are single partitions there are more of them than the k + 1
-that are needed, and a set leaves out as many of its smallest ones, by (size,
-content). Of the partitions in which two similar sets agree, which are more
-than either leaves out, both keep the largest; and the small ones, which
-unrelated sets share by chance, are gone.
+ranges. For k up to 2, n1 is 1 and a signature is the content of one of the
+subsets of n2 - k of k + 2 second-level partitions. Beyond that each
+first-level partition has n2 = 3 second-level ones, and a signature is the
+content of two of these: k differences can spoil at most k + n1 of the 3 n1
+subsets, so similar sets agree in 2 n1 - k of them or more. There are SPARE
+hundredths more first-level partitions than needed, and a set leaves out the
+2 n1 - k - 1 smallest of its signatures, by (size, content). Of the subsets in
+which two similar sets agree, which are more than either leaves out, both keep
+the largest; the small ones, which unrelated sets share by chance, are gone.
 
 Equal sets are one class and make signatures once a task. Sorted by signature, rows
 stream past; sets that share one with others are its members. Two rounds of
@@ -23,15 +24,18 @@ exact verification follow, each without pairs of a whole group:
 2. where a signature's members still lie in several components, the pairs
    across these, compared in blocks inside a task; only pairs that pass leave it.
 
-Before sets are fetched, both rounds compare sketches: sums of the set's
-hashes in many ranges, a byte each. Every range that differs holds a
-difference, so too many of them rule a pair out for sure. Shingles and sets go
-by 64-bit hashes. Components come from alternating large and small stars.
+Before sets are fetched, both rounds compare sketches: members fall into cells,
+and a cell keeps the exclusive or of two hash bits of its members. Every cell
+that differs holds a difference, so too many of them rule a pair out for sure.
+A centre's sketch and set are copied once for every PER_COPY partners, never
+for each. Shingles and sets go by 64-bit hashes. Components come from
+alternating large and small stars.
 
 Edge cases: a null or blank text has the empty set and is its own component.
 Fewer words than the shingle has make one shingle. Null ids take part; a
-component of null ids only has a null id. Repeated rows are copies. Other
-columns are ignored. An empty table gives an empty result.
+component of null ids only has a null id. Repeated rows are copies. Rows that
+share an id but not the text are documents of their own. Other columns are
+ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,15 +46,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import Words, attach, joint_hash, materialize, splitmix, text_blocks
-from .exact_dedup import _CELL, filter_bits, maybe_repeated, repeated_cells
+from .common import Scratch, Words, attach, fetch, joint_hash, splitmix, text_blocks
+from .exact_dedup import bitmap, maybe_repeated, maybe_twice
 
 BLOCK = 1024  # members of a signature compared at once
-SPARE = 30  # partitions beyond those needed, in hundredths; each set leaves out as many
+SPARE = 15  # first-level partitions beyond those needed, in hundredths
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -96,7 +104,7 @@ class PartEnum:
             n2 = k + 2 if k else 1
             return 1, n2, tuple(itertools.combinations(range(n2), n2 - k)), 0
         n1 = -(-(k + 1) * (100 + SPARE) // 200)
-        return n1, 2, ((0,), (1,)), 2 * n1 - k - 1
+        return n1, 3, ((0, 1), (0, 2), (1, 2)), 2 * n1 - k - 1
 
     def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """All sets' signatures, one set's after another's, and where each set's begin (and the end)."""
@@ -125,8 +133,9 @@ class PartEnum:
                     made[:, :, i] = joint_hash(tag, *[sums[:, :, j].ravel() for j in subset]).reshape(len(rows), n1)
                 made = made.reshape(len(rows), -1)
                 if spare:
-                    size = np.diff(cuts).reshape(len(rows), fine)
-                    kept = np.lexsort((sums.reshape(len(rows), fine), size), axis=1)[:, spare:]
+                    held = np.diff(cuts).reshape(len(rows), n1, n2)
+                    size = np.stack([held[:, :, list(subset)].sum(2) for subset in subsets], 2).reshape(len(rows), -1)
+                    kept = np.lexsort((made, size), axis=1)[:, spare:]
                     made = np.take_along_axis(made, kept, 1)
                 parts.append((np.repeat(rows, made.shape[1]), made.ravel()))
         if not parts:
@@ -142,24 +151,35 @@ class PartEnum:
         return (100 - self.share) * total // (100 + self.share)
 
     def sketch(self, members: np.ndarray) -> bytes:
-        cells = 4
+        """Two planes of bits, a bit a cell in each; a cell's number is the low bits of a hash, so halves fold onto each other."""
+        cells = 64
         while cells < 8 * (int(self.allowed(np.int64(2 * len(members)))) + 1):
             cells *= 2
-        cut = np.searchsorted(members, np.arange(1, cells, dtype=np.uint64) << np.uint64(64 - cells.bit_length() + 1))
-        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(splitmix(members + np.uint64(0x2545F4914F6CDD1D)))])
-        sums = np.diff(run[np.concatenate([[0], cut, [len(members)]])])
-        return (sums & np.uint64(255)).astype(np.uint8).tobytes()
+        h = splitmix(members ^ np.uint64(0x2545F4914F6CDD1D))
+        cell = (h & np.uint64(cells - 1)).astype(np.int64)
+        planes = [np.bincount(cell[(h >> np.uint64(62 + i)) & np.uint64(1) == 1], minlength=cells) & 1 for i in (0, 1)]
+        return np.packbits(np.stack(planes).astype(np.uint8), axis=1).tobytes()
+
 
+def planes(sketch: bytes, size: int) -> np.ndarray:
+    """The two planes of a sketch, folded down to ``size`` bytes each."""
+    both = np.frombuffer(sketch, np.uint8).reshape(2, -1)
+    while both.shape[1] > size:
+        half = both.shape[1] // 2
+        both = both[:, :half] ^ both[:, half:]
+    return both
 
-def folded(sketch: np.ndarray, cells: int) -> np.ndarray:
-    """Sums of neighbouring ranges, down to ``cells`` of them."""
-    return sketch.reshape(cells, -1).sum(1, dtype=np.uint8)
+
+def cells_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many cells of (..., 2, bytes) planes differ."""
+    d = a ^ b
+    return np.bitwise_count(d[..., 0, :] | d[..., 1, :]).sum(-1, dtype=np.int64)
 
 
 def differ(a: bytes, b: bytes) -> int:
     """At least so many differences."""
-    cells = min(len(a), len(b))
-    return int((folded(np.frombuffer(a, np.uint8), cells) != folded(np.frombuffer(b, np.uint8), cells)).sum())
+    size = min(len(a), len(b)) // 2
+    return int(cells_apart(planes(a, size), planes(b, size)))
 
 
 # ---------------------------------------------------------------- Spark side
@@ -173,11 +193,12 @@ def _sets(width: int, share: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("th"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([rule.sketch(s) if len(s) else None for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "n", "sid", "sketch"],
+                names=["doc_id", "th", "n", "sid", "sketch"],
             )
 
     return run
@@ -288,8 +309,8 @@ def _across(share: int):
         inner = t.column("bi")[0].as_py() == t.column("bj")[0].as_py()
         block = t.column("block").to_numpy()
         raw = t.column("sketch").to_pylist()
-        cells = min(map(len, raw))
-        sketch = np.stack([folded(np.frombuffer(r, np.uint8), cells) for r in raw])
+        size = min(map(len, raw)) // 2
+        sketch = np.stack([planes(r, size) for r in raw])
         rule, out = PartEnum(share), []
         for i in range(len(sid) - 1):
             rest = slice(i + 1, None)
@@ -297,7 +318,8 @@ def _across(share: int):
             if not inner:
                 ok &= block[rest] != block[i]
             at = np.flatnonzero(ok) + i + 1
-            at = at[(sketch[at] != sketch[i]).sum(1) <= rule.allowed(n[at] + n[i])]
+            at = at[100 * np.minimum(n[at], n[i]) >= share * np.maximum(n[at], n[i])]
+            at = at[cells_apart(sketch[at], sketch[i]) <= rule.allowed(n[at] + n[i])]
             out.append((np.full(len(at), sid[i]), sid[at]))
         a, b = (np.concatenate([o[k] for o in out] + [np.zeros(0, np.int64)]) for k in (0, 1))
         return np.minimum(a, b), np.maximum(a, b)
@@ -330,62 +352,65 @@ def _across(share: int):
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(sid, root) of the nodes of ``links`` (a, b): the smallest node of their component, by alternating large and small stars."""
-    edges = materialize(links.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct(), "links")
-    state = None
+    edges = scratch.save(links.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct(), "links-0")
+    state, turn = None, 0
     while True:
+        turn += 1
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         n = both.count()
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("deg"))
         large = attach(both, least, "u", "deg", n).where("v > u").select(F.col("m").alias("v"), F.col("v").alias("u")).distinct()
-        large = materialize(large, "large-star")
+        large = scratch.save(large, f"large-{turn}")
         down = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg"))
         small = attach(large, down, "u", "deg", max(n, 1))
         small = small.where("v <> m").select(F.col("m").alias("v"), F.col("v").alias("u")).unionByName(down.select(F.col("m").alias("v"), "u")).distinct()
-        edges = materialize(small, "small-star")
+        edges = scratch.save(small, f"links-{turn}")
+        scratch.drop(f"links-{turn - 1}", f"large-{turn}")
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
         if (now["n"], now["x"]) == state:
-            return edges.select(F.col("u").alias("sid"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("sid"), F.col("v").alias("root")).distinct())
+            roots = edges.select(F.col("u").alias("sid"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("sid"), F.col("v").alias("root")).distinct())
+            roots = scratch.save(roots, "roots")
+            scratch.drop(f"links-{turn}")
+            return roots
         state = (now["n"], now["x"])
 
 
 class Join:
-    """One run of the operator over (doc_id, text)."""
+    """One run of the operator over (doc_id, text). A row's identity is (id is null, id, hash of the text), in this order."""
 
     def __init__(self, docs: DataFrame, width: int, share: int):
         ship(docs.sparkSession)
         self.width, self.share = width, share
-        self.docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-        schema = "doc_id bigint, n bigint, sid bigint, sketch binary"
-        self.rows = materialize(self.docs.mapInArrow(_sets(width, share), schema).withColumn("rid", F.monotonically_increasing_id()).withColumn("h", F.col("sid")), "jaccard-sets")
+        self.scratch = Scratch(docs.sparkSession, "jaccard")
+        self.docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), text_hash(docs["text"]).alias("th"))
+        schema = "doc_id bigint, th bigint, n bigint, sid bigint, sketch binary"
+        rows = self.docs.mapInArrow(_sets(width, share), schema).withColumn("rid", F.monotonically_increasing_id()).withColumn("h", F.col("sid"))
+        self.rows = self.scratch.save(rows, "sets")
         filled = self.rows.where("n > 0")
-        self.n_rows, bits = filter_bits(self.rows.select("rid"))
-        cells = repeated_cells(filled, bits)
-        some = maybe_repeated(filled.select("sid", "rid", "doc_id", "h"), cells, bits).where("maybe")
-        groups = some.groupBy("sid").agg(F.min("rid").alias("first_rid"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"))
-        self.groups = materialize(groups.where("size > 1"), "jaccard-copies")
-        tested = maybe_repeated(filled, cells, bits)
-        alone = tested.where("not maybe").select("sid", "n", "doc_id", "sketch", F.col("doc_id").alias("first"))
-        met = attach(tested.where("maybe").select("sid", "n", "doc_id", "sketch", "rid"), self.groups, "sid", "size", self.n_rows)
-        kept = met.where("first_rid is null or rid = first_rid").select("sid", "n", "doc_id", "sketch", F.coalesce("first", "doc_id").alias("first"))
+        self.n_rows = self.rows.count()
+        tested = maybe_twice(filled, self.n_rows)
+        some = tested.where("maybe")
+        groups = some.groupBy("sid").agg(F.min("rid").alias("first_rid"), F.min(identity()).alias("first"), F.count(F.lit(1)).alias("size"))
+        self.groups = self.scratch.save(groups.where("size > 1"), "copies")
+        alone = tested.where("not maybe").select("sid", "n", "doc_id", "th", "sketch", identity().alias("first"))
+        met = attach(tested.where("maybe").select("sid", "n", "doc_id", "th", "sketch", "rid"), self.groups, "sid", "size", self.n_rows)
+        kept = met.where("first_rid is null or rid = first_rid").select("sid", "n", "doc_id", "th", "sketch", F.coalesce("first", identity()).alias("first"))
         self.classes = alone.unionByName(kept)
 
     def members(self) -> DataFrame:
         rows = self.docs.select("text").mapInArrow(_signatures(self.width, self.share), "sig bigint, sid bigint")
-        return materialize(rows.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(_members, "sig bigint, center bigint, sid bigint"), "jaccard-members")
+        return self.scratch.save(rows.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(_members, "sig bigint, center bigint, sid bigint"), "members")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def links(self, pairs: DataFrame, turn: str) -> DataFrame:
         """Of candidate pairs (a, b) those that are similar, by their whole sets."""
-        wanted = materialize(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), "jaccard-wanted")
-        who = self.classes.select("sid", "doc_id").join(wanted.withColumnRenamed("sid", "_sid"), F.col("sid") == F.col("_sid")).select("doc_id")
-        n, bits = self.n_rows, 0
-        bits = _CELL
-        while bits < (1 << 28) and bits < n * 16:
-            bits *= 2
-        cell = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-        held = who.select(cell.alias("cell")).distinct().groupBy(F.expr(f"cell div {_CELL}").alias("bucket")).agg(F.bitmap_construct_agg(F.expr(f"cell % {_CELL}")).alias("bitmap"))
-        again = maybe_repeated(self.docs.withColumn("h", F.xxhash64("doc_id")), held, bits).where("maybe").select("text")
+        scratch = self.scratch
+        wanted = scratch.save(pairs.select(F.col("a").alias("_sid")).unionByName(pairs.select(F.col("b").alias("_sid"))).distinct(), f"wanted-{turn}")
+        # one row of each wanted class, found again in the documents by a bitmap of their identities
+        who = self.classes.select("sid", F.xxhash64("doc_id", "th").alias("h")).join(wanted, F.col("sid") == F.col("_sid")).select("h")
+        held, bits = bitmap(who, max(wanted.count(), 1))
+        again = maybe_repeated(self.docs.withColumn("h", F.xxhash64("doc_id", "th")), held, bits).where("maybe").select("text")
         width = self.width
 
         def remake(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,54 +418,74 @@ class Join:
                 sets = [s for s in shingle_sets(texts, width) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "members"])
 
-        made = again.mapInArrow(remake, "sid bigint, members binary").join(wanted.withColumnRenamed("sid", "_sid"), F.col("sid") == F.col("_sid"), "left_semi")
-        made = materialize(made, "jaccard-content")
-        one = materialize(made.groupBy("sid").agg(F.min("members").alias("members")), "jaccard-once")
-        a, b = (one.select(F.col("sid").alias(f"_{k}"), F.col("members").alias(f"set_{k}")) for k in "ab")
-        met = pairs.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b")).select("a", "b", "set_a", "set_b")
-        return materialize(met.mapInArrow(_verify(self.share), "a bigint, b bigint"), "jaccard-links")
-
-    def run(self) -> DataFrame:
-        """doc_id, n_shingles, component_id of every row."""
+        made = again.mapInArrow(remake, "sid bigint, members binary").join(wanted, F.col("sid") == F.col("_sid"), "left_semi")
+        one = scratch.save(made.groupBy("sid").agg(F.min("members").alias("members")), f"once-{turn}")
+        n = max(pairs.count(), 1)
+        met = fetch(pairs, "a", one.select(F.col("sid").alias("a"), F.col("members").alias("set_a")), "b", n)
+        met = fetch(met, "b", one.select(F.col("sid").alias("b"), F.col("members").alias("set_b")), "a", n)
+        links = scratch.save(met.select("a", "b", "set_a", "set_b").mapInArrow(_verify(self.share), "a bigint, b bigint"), f"similar-{turn}")
+        scratch.drop(f"wanted-{turn}", f"once-{turn}")
+        return links
+
+    def components(self) -> DataFrame:
+        """doc_id, th, n, component (the smallest identity of it) of every row; of rows in no group it is null."""
+        scratch = self.scratch
         members = self.members().select("sig", "sid")
         nodes = self.classes.select("sid", "n", "sketch").join(members.select(F.col("sid").alias("_sid")).distinct(), F.col("sid") == F.col("_sid"), "left_semi")
-        nodes = materialize(nodes, "jaccard-nodes")
+        nodes = scratch.save(nodes, "nodes")
         n_members = max(members.count(), 1)
         sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
         weight = attach(members, sizes, "sig", "size", n_members).groupBy(F.col("sid").alias("_sid")).agg(F.sum("size").alias("weight"))
-        weighted = materialize(members.join(weight, F.col("sid") == F.col("_sid")).select("sig", "sid", "weight"), "jaccard-weighted")
+        weighted = members.join(weight, F.col("sid") == F.col("_sid")).select("sig", "sid", "weight")
         centers = weighted.groupBy("sig").agg(F.max(F.struct("weight", F.col("sid").alias("center"))).alias("c"), F.count(F.lit(1)).alias("size"))
-        centers = materialize(centers.select("sig", "size", "c.center"), "jaccard-centers")
+        centers = scratch.save(centers.select("sig", "size", "c.center"), "centers")
         star = attach(members, centers, "sig", "size", n_members).where("center <> sid").select(F.least("center", "sid").alias("a"), F.greatest("center", "sid").alias("b")).distinct()
-        a, b = (nodes.select(F.col("sid").alias(f"_{k}"), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
-        near = star.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b")).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-        links = self.links(materialize(near.mapInArrow(_passing(self.share), "a bigint, b bigint"), "jaccard-near"))
-        roots = materialize(components(links), "jaccard-roots").withColumnRenamed("sid", "_sid")
+        star = scratch.save(star, "star")
+        scratch.drop("centers")
+        n_star = max(star.count(), 1)
+        a, b = (nodes.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
+        near = fetch(fetch(star, "a", a, "b", n_star), "b", b, "a", n_star).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+        near = near.where(f"100 * least(n_a, n_b) >= {self.share} * greatest(n_a, n_b)")
+        links = self.links(scratch.save(near.mapInArrow(_passing(self.share), "a bigint, b bigint"), "near"), "star")
+        scratch.drop("star", "near")
+        roots = components(links, scratch).withColumnRenamed("sid", "_sid")
         # members whose signature still joins several components
-        told = members.select("sig", "sid").join(roots, F.col("sid") == F.col("_sid"), "left").select("sig", "sid", F.coalesce("root", "sid").alias("comp"))
-        told = materialize(told, "jaccard-told")
+        told = members.join(roots, F.col("sid") == F.col("_sid"), "left").select("sig", "sid", F.coalesce("root", "sid").alias("comp"))
+        told = scratch.save(told, "told")
         split = told.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi and size > 2")
-        split = materialize(split.select("sig", "size"), "jaccard-split")
+        split = scratch.save(split.select("sig", "size"), "split")
         left = attach(told, split, "sig", "size", n_members).where("size is not null")
         left = left.join(nodes.withColumnRenamed("sid", "_sid"), F.col("sid") == F.col("_sid")).drop("_sid")
         left = left.withColumn("blocks", F.expr(f"cast(ceil(size / {BLOCK}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(sid), blocks) as int)"))
         left = left.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
         left = left.select("sig", "bi", "bj", "block", "sid", "comp", "n", "sketch")
         more = left.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj").mapInArrow(_across(self.share), "a bigint, b bigint").distinct()
-        more = materialize(more, "jaccard-across")
+        more = scratch.save(more, "across")
+        scratch.drop("members", "nodes", "told", "split")
         if not more.isEmpty():
-            second = self.links(more)
+            second = self.links(more, "across")
             if not second.isEmpty():
-                roots = materialize(components(links.unionByName(second)), "jaccard-roots").withColumnRenamed("sid", "_sid")
+                scratch.drop("roots")
+                roots = components(links.unionByName(second), scratch).withColumnRenamed("sid", "_sid")
         linked = self.classes.select("sid", "first").join(roots, F.col("sid") == F.col("_sid")).select("sid", "first", "root")
-        linked = materialize(linked, "jaccard-linked")
+        linked = scratch.save(linked, "linked")
         least = linked.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("members"))
-        named = materialize(attach(linked.select("sid", "root"), least, "root", "members", max(linked.count(), 1)).select("sid", "component"), "jaccard-named")
+        named = scratch.save(attach(linked.select("sid", "root"), least, "root", "members", max(linked.count(), 1)).select("sid", "component"), "named")
         # rows: a class of copies has its size; other linked sets are classes of one
         of = self.groups.select("sid", "first", "size").join(named.withColumnRenamed("sid", "_sid"), F.col("sid") == F.col("_sid"), "full")
         of = of.select(F.coalesce("sid", "_sid").alias("sid"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("component", "first").alias("component"))
-        out = attach(self.rows.select("doc_id", "n", "sid"), materialize(of, "jaccard-of"), "sid", "size", self.n_rows)
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        of = scratch.save(of, "of")
+        scratch.drop(*[name for name in scratch.paths if name not in ("sets", "of")])
+        return attach(self.rows.select("doc_id", "th", "n", "sid"), of, "sid", "size", self.n_rows).select("doc_id", "th", "n", "component")
+
+    def run(self) -> DataFrame:
+        """doc_id, n_shingles, component_id of every row."""
+        named = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component.doc_id"))
+        return self.components().select("doc_id", F.col("n").alias("n_shingles"), named.alias("component_id"))
+
+
+def identity() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("th"))
 
 
 def join(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
@@ -449,19 +494,25 @@ def join(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
 
 
 def keep(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
-    """One document of each component, with all its columns: the one with the smallest id.
-
-    Ids must be unique. Those to drop leave by an anti join on the id; which
-    documents may match is tested against a bitmap first, so most never shuffle."""
-    found = join(docs, width, share)
-    lost = materialize(found.where("doc_id <> component_id").select("doc_id"), "jaccard-lost")
-    n = max(lost.count(), 1)
-    bits = _CELL
-    while bits < (1 << 28) and bits < n * 64:
-        bits *= 2
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    held = lost.select(cell.alias("cell")).distinct().groupBy(F.expr(f"cell div {_CELL}").alias("bucket")).agg(F.bitmap_construct_agg(F.expr(f"cell % {_CELL}")).alias("bitmap"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(docs["doc_id"].cast("long")).alias("h"))
-    tested = maybe_repeated(rows, held, bits)
-    stay = tested.where("maybe").join(lost, F.col("row.doc_id").cast("long") == lost["doc_id"], "left_anti")
-    return tested.where("not maybe").select("row.*").unionByName(stay.select("row.*"))
+    """One document of each component, with all its columns: the one with the smallest id, null ids last.
+
+    Goes by rows, not by ids: of documents that share an id each stands for
+    itself, by a hash of its text. Of rows that repeat both one stays; so one row
+    of each component is left, null ids included. Documents without words are
+    linked with nothing and all stay. Which rows may leave is tested against a
+    bitmap first, so most never shuffle."""
+    run = Join(docs, width, share)
+    grouped = run.components().where("component is not null")
+    own = grouped.groupBy("doc_id", "th").agg(F.first("component").alias("component"), F.count(F.lit(1)).alias("rows"))
+    leaves = ~F.col("component").eqNullSafe(identity())
+    told = own.where(leaves | (F.col("rows") > 1)).select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "th").alias("k"), F.xxhash64("doc_id", "th").alias("h"), "rows", leaves.alias("leaves"))
+    told = run.scratch.save(told, "lost")
+    run.scratch.drop(*[name for name in run.scratch.paths if name != "lost"])
+    held, bits = bitmap(told, max(told.count(), 1))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc"), text_hash(docs["text"]).alias("th"))
+    tested = maybe_repeated(rows.withColumn("h", F.xxhash64("doc", "th")), held, bits)
+    some = tested.where("maybe").select("row", F.concat_ws(":", F.coalesce(F.col("doc").cast("string"), F.lit("-")), "th").alias("k"))
+    met = attach(some, told.drop("h"), "k", "rows", run.n_rows, spread="k")
+    whole = met.where("leaves is null").select("row.*")
+    once = met.where("not leaves").dropDuplicates(["k"]).select("row.*")
+    return tested.where("not maybe").select("row.*").unionByName(whole).unionByName(once)
