@@ -282,6 +282,8 @@ def train_remotely(sample: DataFrame, fit, most_bytes: int = SAMPLE_BYTES):
 
     one = sample.select("place", "doc_id", "text", "label").repartition(1).sortWithinPartitions("place", "doc_id")
     parts = one.mapInArrow(run, "at bigint, part binary").collect()  # the model: of bounded size, as the sample is
+    if not parts:  # an empty sample may have no task
+        return fit([], np.zeros(0, np.int64))
     return pickle.loads(b"".join(bytes(p["part"]) for p in sorted(parts, key=lambda p: p["at"])))
 
 
