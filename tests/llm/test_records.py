@@ -299,62 +299,135 @@ def test_blocks_are_skipped():
 # ------------------------------------------------------------------ mixing
 
 
+def mixed_rows(n=600):
+    """Three kinds of text: plain, full of symbols, and with a word of its own."""
+    r, rows = random.Random(12), []
+    for i in range(n):
+        words = prose(7000 + i, 30 + i % 40).split(" ")
+        kind = {1: "noise", 4: "spoken", 7: "noise"}.get(i % 10, "plain")
+        if kind == "noise":
+            words = [w + r.choice(["##", "%1", "@@"]) if r.random() < 0.5 else w for w in words]
+        if kind == "spoken":
+            words[r.randrange(len(words))] = r.choice(["vileword", "Nastyword"])
+        rows.append((i, " ".join(words), kind))
+    return rows
+
+
+def brute_posteriors(rows, labelled, domains):
+    """Naive Bayes over the documented features, in plain loops."""
+    import math
+
+    import xxhash
+
+    def features(text):
+        found = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+        words = {xxhash.xxh64(w.encode(), seed=42).intdigest() % mixing.WORD_CLASSES for w in found}
+        n, size = max(len(found), 1), len(text)
+
+        def share(k):
+            return 0 if not k else max(1, min(7, 8 + math.floor(math.log2(k / max(size, 1)))))
+
+        symbols = sum(c in "!#$%&*+/<=>?@[\\]^_`{|}~" for c in text)
+        shape = [min(7, int(math.log2(len(found) + 1) / 2)), min(7, int(size / n / 1.5)), min(7, len(words) * 8 // n)]
+        shape += [share(symbols), share(sum("0" <= c <= "9" for c in text)), share(sum("A" <= c <= "Z" for c in text)), share(text.count("\n"))]
+        return words, shape
+
+    found = {i: features(t) for i, t, _ in rows}
+    n = Counter(labelled.values())
+    total = sum(n.values())
+    having = Counter((labelled[i], w) for i in labelled for w in found[i][0])
+    strength = {}
+    for w in {w for _, w in having}:
+        q = (sum(having[d, w] for d in domains) + 1) / (total + 2)
+        for d in domains:
+            if (having[d, w] - n[d] * q) / math.sqrt(n[d] * q + 1) >= mixing.MARKED:
+                strength[d, w] = max(0, min(7, int(2.5 * math.log((having[d, w] + 20 * q) / (n[d] + 20) / q))))
+
+    def numbered(i):
+        words, shape = found[i]
+        return [(k, v) for k, v in enumerate(shape)] + [("mark " + d, max([strength.get((d, w), 0) for w in words], default=0)) for d in domains]
+
+    seen = Counter((labelled[i], f) for i in labelled for f in numbered(i))
+    out = {}
+    for i, _, _ in rows:
+        logit = []
+        for d in domains:
+            s = math.log((n[d] + 1) / (total + len(domains)))
+            for f in numbered(i):
+                q = (sum(seen[e, f] for e in domains) + 1) / (total + 8)
+                s += math.log((seen[d, f] + 5 * q) / (n[d] + 5) / q)
+            logit.append(s)
+        e = np.exp(np.array(logit) - max(logit))
+        out[i] = e / e.sum()
+    return out
+
+
 def test_mixing(spark, empty):
-    rows = [(i, prose(i, 20 + i % 60), "en" if i % 3 else "de", f"s{min(i % 6, 3)}" if i % 10 else None, 1) for i in range(600)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, rate int")
-    labels = spark.createDataFrame([(i, 1) for i in range(1, 600, 7)] + [(None, 1)], "doc_id bigint, quality int")
-    targets = {"s0": 4.0, "s1": 1.0, "s2": 2.0, "s3": 3.0}
-    m = mixing.fit(docs, labels, targets)
-    whole = sum(len(t.split()) for _, t, *_ in rows)
-    assert sum(m.natural) == pytest.approx(whole) and sum(m.targets) == pytest.approx(whole)
-    assert np.allclose(m.reached, m.targets, atol=2e-4 * whole)
-    # the same cells by numpy: posteriors are distributions, rates a projected descent
-    cells = m.cells.toPandas()
-    p = np.stack(cells["p"].to_list())
-    assert np.allclose(p.sum(1), 1) and (cells["rate"] >= 0).all()
-    assert np.allclose((p * (cells["rate"] * cells["tokens"]).to_numpy()[:, None]).sum(0), m.reached)
-    t, rate, natural = cells["tokens"].to_numpy(), np.ones(len(cells)), (p * cells["tokens"].to_numpy()[:, None]).sum(0)
-    for _ in range(m.steps):
-        rate = np.maximum(0, rate - p @ (((p * (rate * t)[:, None]).sum(0) - m.targets) / natural))
-    assert np.allclose(rate, cells["rate"])
-    each = mixing.rates(m).toPandas()
-    assert len(each) == 600 and (each["rate"] * each["tokens"]).sum() == pytest.approx(sum(m.reached))
-    known = each[each["source"].notna()]
-    assert (known["domain"] == known["source"]).mean() > 0.95
+    rows = mixed_rows()
+    docs = as_table(spark, [(i, t) for i, t, _ in rows])
+    known = {i: d for i, _, d in rows if i % 3}
+    examples = spark.createDataFrame([*known.items(), (None, "plain"), (10**9, "plain"), (2, None)], "doc_id bigint, domain string")
+    weights = {"plain": 2.0, "noise": 1.0, "spoken": 0.5, "unheard of": 3.0}
+    m = mixing.fit(docs, examples, weights)
+    domains = sorted(weights)[:1] + ["plain", "spoken"]
+    assert m.classifier.domains == domains
+    got = {r["doc_id"]: r for r in m.rows.collect()}
+    want = brute_posteriors(rows, known, domains)
+    assert all(np.allclose(got[i]["p"], p, atol=1e-9) for i, p in want.items())
+    held = [i for i, _, _ in rows if i not in known]
+    assert np.mean([domains[int(np.argmax(got[i]["p"]))] == rows[i][2] for i in held]) > 0.95
+    # least squares by a plain descent over documents, rates tied within cells
+    n_tokens = np.array([len(t.split()) for _, t, _ in rows], float)
+    p = np.array([want[i] for i, _, _ in rows])
+    assert np.allclose(m.natural, (p * n_tokens[:, None]).sum(0)) and sum(m.targets) == pytest.approx(n_tokens.sum())
+    cells = defaultdict(list)
+    for i, _, _ in rows:
+        cells[got[i]["cell"]].append(i)
+    mean = np.zeros_like(p)
+    for ids in cells.values():
+        mean[ids] = (p[ids] * n_tokens[ids, None]).sum(0) / n_tokens[ids].sum()
+    rate = np.ones(len(rows))
+    for _ in range(5000):
+        rate = np.maximum(0, rate - mean @ (((p * (rate * n_tokens)[:, None]).sum(0) - m.targets) / m.natural))
+    each = {r["doc_id"]: r for r in mixing.rates(m).collect()}
+    got_rate = np.array([each[i]["rate"] for i, _, _ in rows])
+    assert np.allclose((p * (got_rate * n_tokens)[:, None]).sum(0), (p * (rate * n_tokens)[:, None]).sum(0), atol=3e-4 * n_tokens.sum())
+    assert (got_rate >= 0).all() and all(len({each[i]["rate"] for i in ids}) == 1 for ids in cells.values())
+    assert m.converged and np.allclose(m.reached, m.targets, atol=2e-4 * n_tokens.sum())
+    assert {r["domain"] for r in m.totals().collect()} == set(domains)
     taken = mixing.take(docs, m)
     assert taken.columns == docs.columns
-    assert Counter(r["doc_id"] for r in taken.collect()) == Counter({i: c for i, c in zip(each["doc_id"], each["copies"], strict=True) if c})
-    more = mixing.fit(docs, labels, targets, min_rate=1.0)
+    assert Counter(r["doc_id"] for r in taken.collect()) == Counter({i: r["copies"] for i, r in each.items() if r["copies"]})
+    more = mixing.fit(docs, examples, weights, min_rate=1.0)
     assert {r["doc_id"] for r in mixing.take(docs, more).collect()} == set(range(600))
-    assert mixing.take(empty, mixing.fit(empty, labels)).count() == 0
-    assert mixing.rates(mixing.fit(docs, labels.limit(0))).count() == 600
-
-
-def test_mixing_sources_past_the_cap(spark, monkeypatch):
-    """Each source past MAX_DOMAINS meets its own target, given or not."""
-    monkeypatch.setattr(mixing, "MAX_DOMAINS", 2)
-    rows = [(i, prose(i, 30), "en", f"s{min(i % 12, 5)}") for i in range(120)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
-    labels = spark.createDataFrame([(i, 1) for i in range(0, 120, 2)], "doc_id bigint, quality int")
-    m = mixing.fit(docs, labels, {f"s{i}": i + 1.0 for i in range(6)})
-    got = {r["domain"]: r for r in m.totals().collect()}
-    assert sorted(got) == [f"s{i}" for i in range(6)]
-    unit = got["s0"]["target"]
-    past = set(got) - set(m.kept)
-    for s in past:
-        assert got[s]["target"] == pytest.approx((int(s[1]) + 1) * unit) and got[s]["expected"] == pytest.approx(got[s]["target"])
-    each = mixing.rates(m).toPandas()
-    assert len(each) == 120 and set(each[each["source"].isin(past)]["domain"]) == past
-    for s in past:
-        mine = each[each["source"] == s]
-        assert (mine["rate"] * mine["tokens"]).sum() == pytest.approx(got[s]["target"])
-    taken = Counter(r["doc_id"] for r in mixing.take(docs, m).collect())
-    assert taken == Counter({i: c for i, c in zip(each["doc_id"], each["copies"], strict=True) if c})
+    assert mixing.take(empty, mixing.fit(empty, examples)).count() == mixing.rates(mixing.fit(empty, examples)).count() == 0
+    assert mixing.rates(mixing.fit(docs, examples.limit(0))).count() == 600
+    with pytest.raises(ValueError):
+        mixing.fit(docs, examples, {"nothing": 1.0})
+
+
+def test_mixing_takes_no_field_but_the_text(spark):
+    rows = mixed_rows(90)
+    examples = spark.createDataFrame([(i, d) for i, _, d in rows], "doc_id bigint, domain string")
+    one = as_table(spark, [(i, t) for i, t, _ in rows])
+    other = one.withColumn("source", F.lit("elsewhere")).withColumn("lang", F.lit("xx"))
+    a, b = ({r["doc_id"]: r["p"] for r in mixing.fit(d, examples).rows.collect()} for d in (one, other))
+    assert a == b
+
+
+def test_mixing_many_domains(spark, monkeypatch):
+    rows = mixed_rows(24)
+    examples = spark.createDataFrame([(i, f"d{i % 12}") for i in range(24)], "doc_id bigint, domain string")
+    docs = as_table(spark, [(i, t) for i, t, _ in rows])
+    assert len(mixing.fit(docs, examples).targets) == 12
+    monkeypatch.setattr(mixing, "MAX_DOMAINS", 11)
+    with pytest.raises(ValueError):
+        mixing.fit(docs, examples)
 
 
 def test_mixing_odd_rows(spark, docs):
-    labels = spark.createDataFrame([(7, 1), (9, 0)], "doc_id bigint, quality int")
-    m = mixing.fit(docs, labels, min_rate=1.0, temper=0.9)
+    examples = spark.createDataFrame([(7, "a"), (9, "b")], "doc_id bigint, domain string")
+    m = mixing.fit(docs, examples, min_rate=1.0, temper=0.9)
     out = mixing.take(docs, m)
     assert out.columns == docs.columns and out.count() >= docs.count()
     assert mixing.rates(m).count() == docs.count()

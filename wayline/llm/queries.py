@@ -11,6 +11,10 @@ from . import exact_dedup, jaccard, lines, mixing, packing, pii, quality, topk,
 from .common import documents, table
 
 
+# Shares of tokens that the mix aims at.
+MIX = {"good": 0.85, "poor": 0.1, "toxic": 0.05}
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -54,7 +58,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.rates(mixing.fit(documents(spark, sf_dir), table(spark, sf_dir, "labels")))
+    return mixing.rates(mixing.fit(documents(spark, sf_dir), mixing.label_domains(table(spark, sf_dir, "labels")), MIX))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
