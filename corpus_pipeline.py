@@ -7,10 +7,17 @@ All but the last return the columns of documents:
 1. toxicity: documents predicted toxic go;
 2. exact dedup: of equal texts the smallest id stays;
 3. near dedup: of each group linked by five-word shingles with a Jaccard
-   similarity of 0.8 or more the smallest id stays;
-4. mixing: sources move towards their token shares to the power 0.9. No
-   document is lost (rates are at least 1), those of small sources come again;
+   similarity of 0.8 or more the row with the smallest id stays;
+4. mixing: what classifies as good text moves towards a share of MIX of the
+   tokens. No document is lost (rates are at least 1), some of the good come again;
 5. packing: what is left, tokenised and packed.
+
+Edge cases: null texts count as empty; all of them are exact copies of each
+other, so one stays. Null ids take part and come last where the smallest id
+stays. Rows that repeat both id and text are copies, rows that repeat an id
+alone are documents of their own. Columns beyond those of documents are kept up
+to packing. Empty tables, and labels of no document, give empty or unlabelled
+stages that lose nothing.
 """
 
 from __future__ import annotations
@@ -22,6 +29,10 @@ from wayline.llm.common import documents, materialize, table
 from wayline.llm.queries import tokenizer_path
 
 
+# Shares of tokens that mixing aims at.
+MIX = {"good": 0.87, "poor": 0.13}
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
@@ -35,7 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.take(docs, mixing.fit(docs, table(spark, sf_dir, "labels"), min_rate=1.0, temper=0.9))
+    return mixing.take(docs, mixing.fit(docs, mixing.label_domains(table(spark, sf_dir, "labels")), MIX, min_rate=1.0))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
