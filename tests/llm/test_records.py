@@ -464,3 +464,23 @@ def test_pipeline(spark, tmp_path, tokenizer):
     for x in got:
         fill[x["sequence_id"]] += x["length"]
     assert max(fill.values()) <= packing.CAPACITY
+
+
+def test_pipeline_odd_rows(spark, docs, empty, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing columns, empty tables: no text is lost but copies."""
+    import corpus_pipeline
+
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    some = spark.createDataFrame([(7, 1, 0), (12, None, 0), (None, 1, 1), (10, 0, None), (100, 1, 0)], none.schema)
+    for name, rows, labels in (("odd", docs, some), ("bare", docs, none), ("empty", empty, some)):
+        rows.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        ids = {r["doc_id"] for r in got}
+        if name == "empty":
+            assert not got
+            continue
+        texts = {re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in awkward()}
+        # copies, null and empty texts, and near copies go, the smallest id stays; 13 and 12 repeat their ids
+        assert ids >= {1, 3, 4, 5, -5, 10, 11, 12, 13, 2**62, 14, None, *range(100, 112)} and not ids & {2, 6, 7, 8, 9}
+        assert len({(r["doc_id"], r["ids_crc32"]) for r in got if r["piece"] == 0}) == len(texts) - 2
