@@ -55,15 +55,10 @@ SHRINK, SMOOTH = 20.0, 5.0  # counts that the rate of all documents adds to a wo
 LEVELS = 8  # classes of each feature
 GRAIN = 32
 TEMPER = 0.7
-STEPS, CLOSE, STILL = 200, 1e-4, 1e-6  # gap, and move of a step, that end the descent, as shares of all tokens
-_SPACE = r"[\x20\x09-\x0D]+"
+STEPS, CLOSE, STILL = 100, 1e-4, 1e-5  # gap, and move of a step, that end the descent, as shares of all tokens
 N_SHAPES = 7
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-
-
 def _share_class(part: Column, whole: Column) -> Column:
     """0 for none, else 1 to 7 by powers of two of the share."""
     share = part / F.greatest(whole, F.lit(1))
@@ -73,21 +68,21 @@ def _share_class(part: Column, whole: Column) -> Column:
 def with_features(df: DataFrame, text: Column) -> DataFrame:
     """``df`` with tokens, even (a hash of id and text in [0, 1)), words (distinct classes) and shapes (a feature number each)."""
     df = df.withColumn("_t", F.coalesce(text, F.lit("")))
-    df = df.withColumn("_w", F.filter(F.split(F.lower("_t"), _SPACE), lambda w: w != ""))
+    df = df.withColumn("_w", F.array_remove(F.split(F.lower(F.regexp_replace("_t", r"[\x09-\x0D]", " ")), " "), ""))
     df = df.withColumn("words", F.array_distinct(F.transform("_w", lambda w: F.pmod(F.xxhash64(w), F.lit(WORD_CLASSES)).cast("int"))))
-    df = df.withColumn("tokens", tokens(F.col("_t"))).withColumn("_n", F.length("_t"))
+    df = df.withColumn("tokens", F.size("_w").cast("long")).withColumn("_n", F.length("_t"))
 
-    def left(keep: str) -> Column:
-        return F.length(F.regexp_replace("_t", keep, ""))
+    def count(one: str) -> Column:
+        return F.regexp_count("_t", F.lit(one))
 
     shapes = [
         F.least(F.floor(F.log2(F.col("tokens") + 1) / 2), F.lit(LEVELS - 1)),
         F.least(F.floor(F.col("_n") / F.greatest("tokens", F.lit(1)) / 1.5), F.lit(LEVELS - 1)),
         F.least(F.floor(F.size("words") * LEVELS / F.greatest("tokens", F.lit(1))), F.lit(LEVELS - 1)),
-        _share_class(left(r"""[^\x21\x23-\x26\x2a-\x2b\x2f\x3c-\x40\x5b-\x60\x7b-\x7e]+"""), F.col("_n")),
-        _share_class(left("[^0-9]+"), F.col("_n")),
-        _share_class(left("[^A-Z]+"), F.col("_n")),
-        _share_class(left("[^\n]+"), F.col("_n")),
+        _share_class(count(r"""[\x21\x23-\x26\x2a\x2b\x2f\x3c-\x40\x5b-\x60\x7b-\x7e]"""), F.col("_n")),
+        _share_class(count("[0-9]"), F.col("_n")),
+        _share_class(count("[A-Z]"), F.col("_n")),
+        _share_class(F.col("_n") - F.length(F.replace("_t", F.lit("\n"), F.lit(""))), F.col("_n")),
     ]
     return df.withColumn("shapes", F.array(*[(s + LEVELS * i).cast("int") for i, s in enumerate(shapes)])).drop("_t", "_w", "_n")
 
@@ -109,10 +104,13 @@ class Classifier:
 
     def features(self) -> Column:
         """All feature numbers of a row with words and shapes: the plan is of one size, however many domains there are."""
-        place = [-1] * WORD_CLASSES
-        for i, w in enumerate(self.marked):
-            place[w] = i
-        there = F.filter(F.transform("words", _lookup(F.split(F.lit(",".join(map(str, place))), ",").cast("array<int>"))), lambda i: i >= 0)
+        bits = [0] * (WORD_CLASSES // 64)
+        for w in self.marked:
+            bits[w // 64] |= 1 << w % 64
+        signed = [b - (1 << 64) if b >> 63 else b for b in bits]
+        held, marked = _constant(signed, "array<bigint>"), _constant(self.marked, "array<int>")
+        there = F.filter("words", lambda w: F.getbit(F.get(held, F.shiftright(w, 6)), w.bitwiseAND(63)) == 1)
+        there = F.transform(there, lambda w: (F.array_position(marked, w) - 1).cast("int"))
         strength = _constant(self.strength, "array<array<int>>")
         none = F.array_repeat(F.lit(0), len(self.domains))
         worst = F.aggregate(there, none, lambda a, i: F.zip_with(a, F.get(strength, i), lambda x, y: F.greatest(x, y)))
@@ -128,10 +126,6 @@ class Classifier:
         return df.withColumn("p", F.expr("transform(_e, x -> x / aggregate(_e, 0D, (s, y) -> s + y))")).drop("_f", "_l", "_e")
 
 
-def _lookup(constants: Column):
-    return lambda i: F.get(constants, i)
-
-
 def train(docs: DataFrame, examples: DataFrame) -> Classifier:
     """From the texts of ``examples`` (doc_id, domain)."""
     one = examples.where(examples["doc_id"].isNotNull() & examples["domain"].isNotNull()).groupBy(examples["doc_id"].cast("long").alias("sample_id")).agg(F.min(examples["domain"].cast("string")).alias("domain"))
@@ -292,10 +286,11 @@ def take(docs: DataFrame, mix: Mix) -> DataFrame:
     row = mix.classifier.posteriors(with_features(row, F.col("text"))).select("row", "even", cell().alias("cell"))
     found = mix.cells.select("cell", "n", "rate")
     if mix.cells.count() <= BROADCAST_CELLS:
-        joined = row.join(F.broadcast(found.withColumnRenamed("cell", "_cell")), F.col("cell") == F.col("_cell"))
+        # a left join: an inner one would have a test for null, and so the whole classifier, computed once more below it
+        joined = row.join(F.broadcast(found.withColumnRenamed("cell", "_cell")), F.col("cell") == F.col("_cell"), "left")
     else:
         joined = attach(row, found, "cell", "n", max(mix.rows.count(), 1), spread="even")
-    copies = joined.withColumn("copies", _copies()).where("copies > 0")
+    copies = joined.withColumn("rate", F.coalesce("rate", F.lit(1.0))).withColumn("copies", _copies()).where("copies > 0")
     return copies.select("row", F.explode(F.expr("sequence(1, copies)")).alias("copy")).select("row.*")
 
 
