@@ -22,11 +22,14 @@ exact verification follow, each without pairs of a whole group:
    meets the most others over all its signatures, so that the text which near
    copies were made from is asked for, not one of them;
 2. where a signature's members still lie in several components, the pairs
-   across these, compared in blocks inside a task; only pairs that pass leave it.
+   across these, compared in blocks inside a task. Members outside the block's
+   largest component name the partners nearest to them by sketches, NEAREST at
+   first; verified links join components, and signatures that had more to name
+   are asked again for four times as many, until none has.
 
 Before sets are fetched, both rounds compare sketches: members fall into cells,
-and a cell keeps the exclusive or of two hash bits of its members. Every cell
-that differs holds a difference, so too many of them rule a pair out for sure.
+and a bit says whether a cell has an odd number of them. Every cell that differs
+holds a difference, so too many of them rule a pair out for sure.
 A centre's sketch and set are copied once for every PER_COPY partners, never
 for each. Shingles and sets go by 64-bit hashes. Components come from
 alternating large and small stars.
@@ -54,6 +57,7 @@ from .common import Scratch, Words, attach, fetch, joint_hash, splitmix, text_bl
 from .exact_dedup import bitmap, maybe_repeated, maybe_twice
 
 BLOCK = 1024  # members of a signature compared at once
+NEAREST = 4  # partners that a member names in the first of the rounds across components; four times as many in each further one
 SPARE = 15  # first-level partitions beyond those needed, in hundredths
 
 
@@ -151,35 +155,26 @@ class PartEnum:
         return (100 - self.share) * total // (100 + self.share)
 
     def sketch(self, members: np.ndarray) -> bytes:
-        """Two planes of bits, a bit a cell in each; a cell's number is the low bits of a hash, so halves fold onto each other."""
+        """A bit a cell: whether the cell has an odd number of members. A cell's number is the low bits of a hash, so halves fold onto each other."""
         cells = 64
-        while cells < 8 * (int(self.allowed(np.int64(2 * len(members)))) + 1):
+        while cells < 16 * (int(self.allowed(np.int64(2 * len(members)))) + 1):
             cells *= 2
-        h = splitmix(members ^ np.uint64(0x2545F4914F6CDD1D))
-        cell = (h & np.uint64(cells - 1)).astype(np.int64)
-        planes = [np.bincount(cell[(h >> np.uint64(62 + i)) & np.uint64(1) == 1], minlength=cells) & 1 for i in (0, 1)]
-        return np.packbits(np.stack(planes).astype(np.uint8), axis=1).tobytes()
+        cell = (splitmix(members ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(cells - 1)).astype(np.int64)
+        return np.packbits((np.bincount(cell, minlength=cells) & 1).astype(np.uint8)).tobytes()
 
 
-def planes(sketch: bytes, size: int) -> np.ndarray:
-    """The two planes of a sketch, folded down to ``size`` bytes each."""
-    both = np.frombuffer(sketch, np.uint8).reshape(2, -1)
-    while both.shape[1] > size:
-        half = both.shape[1] // 2
-        both = both[:, :half] ^ both[:, half:]
-    return both
-
-
-def cells_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many cells of (..., 2, bytes) planes differ."""
-    d = a ^ b
-    return np.bitwise_count(d[..., 0, :] | d[..., 1, :]).sum(-1, dtype=np.int64)
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch folded down to ``size`` bytes."""
+    bits = np.frombuffer(sketch, np.uint8)
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
 
 
 def differ(a: bytes, b: bytes) -> int:
     """At least so many differences."""
-    size = min(len(a), len(b)) // 2
-    return int(cells_apart(planes(a, size), planes(b, size)))
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum(dtype=np.int64))
 
 
 # ---------------------------------------------------------------- Spark side
@@ -298,54 +293,70 @@ def _verify(share: int):
     return run
 
 
-def _across(share: int):
-    """Of (sig, bi, bj, side, sid, comp, n, sketch) sorted by the first three: pairs across components that sketches don't rule out.
+def _across(share: int, most: int):
+    """Of (sig, bi, bj, block, sid, comp, n, sketch) sorted by the first three: pairs across components that sketches don't rule out.
 
-    A run holds at most two blocks of a signature's members."""
+    A run holds at most two blocks of a signature's members. Of its components
+    the largest only answers: each member of another one names the ``most``
+    partners that differ least from it, so a run gives ``most`` rows a member at
+    most. A signature for which more were left comes out as ``again``."""
 
-    def pairs(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, bool]:
         t = pa.Table.from_batches(rows)
         sid, comp, n = (t.column(k).to_numpy() for k in ("sid", "comp", "n"))
         inner = t.column("bi")[0].as_py() == t.column("bj")[0].as_py()
         block = t.column("block").to_numpy()
         raw = t.column("sketch").to_pylist()
-        size = min(map(len, raw)) // 2
-        sketch = np.stack([planes(r, size) for r in raw])
-        rule, out = PartEnum(share), []
-        for i in range(len(sid) - 1):
-            rest = slice(i + 1, None)
-            ok = (comp[rest] != comp[i]) & (sid[rest] != sid[i])
+        size = max(min(map(len, raw)), 8)
+        sketch = np.stack([folded(r, size) for r in raw]).view(np.uint64)
+        rule, out, left = PartEnum(share), [], False
+        names, sizes = np.unique(comp, return_counts=True)
+        for i in np.flatnonzero(comp != names[np.argmax(sizes)]):
+            ok = (comp != comp[i]) & (sid != sid[i]) & (100 * np.minimum(n, n[i]) >= share * np.maximum(n, n[i]))
             if not inner:
-                ok &= block[rest] != block[i]
-            at = np.flatnonzero(ok) + i + 1
-            at = at[100 * np.minimum(n[at], n[i]) >= share * np.maximum(n[at], n[i])]
-            at = at[cells_apart(sketch[at], sketch[i]) <= rule.allowed(n[at] + n[i])]
+                ok &= block != block[i]
+            at = np.flatnonzero(ok)
+            apart = np.bitwise_count(sketch[at] ^ sketch[i]).sum(1, dtype=np.int64)
+            near = apart <= rule.allowed(n[at] + n[i])
+            at, apart = at[near], apart[near]
+            if len(at) > most:
+                at, left = at[np.lexsort((sid[at], apart))[:most]], True
             out.append((np.full(len(at), sid[i]), sid[at]))
         a, b = (np.concatenate([o[k] for o in out] + [np.zeros(0, np.int64)]) for k in (0, 1))
-        return np.minimum(a, b), np.maximum(a, b)
+        return np.minimum(a, b), np.maximum(a, b), left
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         found: list[tuple[np.ndarray, np.ndarray]] = []
+        again: set[int] = set()
+
+        def close() -> None:
+            a, b, left = pairs(held)
+            found.append((a, b))
+            if left:
+                again.add(held[0].column("sig")[0].as_py())
+            held.clear()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            a, b = (np.concatenate([f[k] for f in found] + [np.zeros(0, np.int64)]) for k in (0, 1))
             once = np.unique(np.stack([a, b], 1), axis=0)
+            sigs = sorted(again)
             found.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["a", "b"])
+            again.clear()
+            columns = [pa.array([*once[:, 0].tolist(), *[None] * len(sigs)], pa.int64()), pa.array([*once[:, 1].tolist(), *[None] * len(sigs)], pa.int64()), pa.array([None] * len(once) + sigs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "again"])
 
         for batch, new in _runs(batches, ["sig", "bi", "bj"]):
             starts = np.flatnonzero(new)
             edges = np.unique(np.concatenate([[0], starts, [batch.num_rows]]))
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 if new[lo] and held:
-                    found.append(pairs(held))
-                    held = []
+                    close()
                 held.append(batch.slice(lo, hi - lo))
             if sum(len(f[0]) for f in found) > 100_000:
                 yield from flush()
         if held:
-            found.append(pairs(held))
+            close()
         if found:
             yield from flush()
 
@@ -449,24 +460,34 @@ class Join:
         links = self.links(scratch.save(near.mapInArrow(_passing(self.share), "a bigint, b bigint"), "near"), "star")
         scratch.drop("star", "near")
         roots = components(links, scratch).withColumnRenamed("sid", "_sid")
-        # members whose signature still joins several components
-        told = members.join(roots, F.col("sid") == F.col("_sid"), "left").select("sig", "sid", F.coalesce("root", "sid").alias("comp"))
-        told = scratch.save(told, "told")
-        split = told.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi and size > 2")
-        split = scratch.save(split.select("sig", "size"), "split")
-        left = attach(told, split, "sig", "size", n_members).where("size is not null")
-        left = left.join(nodes.withColumnRenamed("sid", "_sid"), F.col("sid") == F.col("_sid")).drop("_sid")
-        left = left.withColumn("blocks", F.expr(f"cast(ceil(size / {BLOCK}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(sid), blocks) as int)"))
-        left = left.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-        left = left.select("sig", "bi", "bj", "block", "sid", "comp", "n", "sketch")
-        more = left.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj").mapInArrow(_across(self.share), "a bigint, b bigint").distinct()
-        more = scratch.save(more, "across")
-        scratch.drop("members", "nodes", "told", "split")
-        if not more.isEmpty():
-            second = self.links(more, "across")
-            if not second.isEmpty():
-                scratch.drop("roots")
-                roots = components(links.unionByName(second), scratch).withColumnRenamed("sid", "_sid")
+        # members whose signature still joins several components: in rounds, the nearest partners first
+        most, turn, again = NEAREST, 0, None
+        while True:
+            own = members if again is None else members.join(again, F.col("sig") == F.col("again"), "left_semi")
+            told = own.join(roots, F.col("sid") == F.col("_sid"), "left").select("sig", "sid", F.coalesce("root", "sid").alias("comp"))
+            told = scratch.save(told, f"told-{turn}")
+            split = told.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi and size > 2")
+            split = scratch.save(split.select("sig", "size"), f"split-{turn}")
+            left = attach(told, split, "sig", "size", n_members).where("size is not null")
+            left = left.join(nodes.withColumnRenamed("sid", "_sid"), F.col("sid") == F.col("_sid")).drop("_sid")
+            left = left.withColumn("blocks", F.expr(f"cast(ceil(size / {BLOCK}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(sid), blocks) as int)"))
+            left = left.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
+            left = left.select("sig", "bi", "bj", "block", "sid", "comp", "n", "sketch")
+            more = left.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj").mapInArrow(_across(self.share, most), "a bigint, b bigint, again bigint").distinct()
+            more = scratch.save(more, f"across-{turn}")
+            scratch.drop(f"told-{turn}", f"split-{turn}")
+            pairs = more.where("a is not null").select("a", "b")
+            if not pairs.isEmpty():
+                second = self.links(pairs, f"across-{turn}")
+                if not second.isEmpty():
+                    links = scratch.save(links.unionByName(second), f"all-{turn}")
+                    scratch.drop("roots")
+                    roots = components(links, scratch).withColumnRenamed("sid", "_sid")
+            again = more.where("again is not null").select("again")
+            if again.isEmpty():
+                break
+            most, turn = 4 * most, turn + 1
+        scratch.drop("members", "nodes")
         linked = self.classes.select("sid", "first").join(roots, F.col("sid") == F.col("_sid")).select("sid", "first", "root")
         linked = scratch.save(linked, "linked")
         least = linked.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("members"))

@@ -89,7 +89,14 @@ def with_features(df: DataFrame, text: Column) -> DataFrame:
 
 def _constant(values: list, kind: str) -> Column:
     """A constant array, folded when the plan is made."""
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
+    if not values:
+        return F.expr(f"cast(array() as array<{kind}>)")
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def _row(constants: Column, i: Column, wide: int) -> Column:
+    """Row i of a table of ``wide`` columns that lies in a flat array."""
+    return F.slice(constants, i * wide + 1, wide)
 
 
 @dataclass
@@ -108,20 +115,19 @@ class Classifier:
         for w in self.marked:
             bits[w // 64] |= 1 << w % 64
         signed = [b - (1 << 64) if b >> 63 else b for b in bits]
-        held, marked = _constant(signed, "array<bigint>"), _constant(self.marked, "array<int>")
+        held, marked, d = _constant(signed, "bigint"), _constant(self.marked, "int"), len(self.domains)
         there = F.filter("words", lambda w: F.getbit(F.get(held, F.shiftright(w, 6)), w.bitwiseAND(63)) == 1)
         there = F.transform(there, lambda w: (F.array_position(marked, w) - 1).cast("int"))
-        strength = _constant(self.strength, "array<array<int>>")
-        none = F.array_repeat(F.lit(0), len(self.domains))
-        worst = F.aggregate(there, none, lambda a, i: F.zip_with(a, F.get(strength, i), lambda x, y: F.greatest(x, y)))
+        strength = _constant([x for row in self.strength for x in row], "int")
+        worst = F.aggregate(there, F.array_repeat(F.lit(0), d), lambda a, i: F.zip_with(a, _row(strength, i, d), lambda x, y: F.greatest(x, y)))
         return F.concat("shapes", F.transform(worst, lambda x, i: x + LEVELS * (i + N_SHAPES)))
 
     def posteriors(self, df: DataFrame) -> DataFrame:
         """``df`` (words, shapes) with p, an array over the domains."""
         if not self.domains:
             return df.withColumn("p", F.expr("cast(array() as array<double>)"))
-        scores = _constant(self.scores, "array<array<double>>")
-        logit = F.aggregate("_f", _constant(self.prior, "array<double>"), lambda a, f: F.zip_with(a, F.get(scores, f), lambda x, y: x + y))
+        scores, d = _constant([x for row in self.scores for x in row], "double"), len(self.domains)
+        logit = F.aggregate("_f", _constant(self.prior, "double"), lambda a, f: F.zip_with(a, _row(scores, f, d), lambda x, y: x + y))
         df = df.withColumn("_f", self.features()).withColumn("_l", logit).withColumn("_e", F.expr("transform(_l, x -> exp(x - array_max(_l)))"))
         return df.withColumn("p", F.expr("transform(_e, x -> x / aggregate(_e, 0D, (s, y) -> s + y))")).drop("_f", "_l", "_e")
 
