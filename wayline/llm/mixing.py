@@ -57,6 +57,7 @@ GRAIN = 32
 TEMPER = 0.7
 STEPS, CLOSE, STILL = 100, 1e-4, 1e-5  # gap, and move of a step, that end the descent, as shares of all tokens
 N_SHAPES = 7
+SYMBOLS = r"[!#$%&*+/<=>?@\[\\\]^_`{|}~]"  # single characters: the pattern compiler makes a table of these, not of ranges
 
 
 def _share_class(part: Column, whole: Column) -> Column:
@@ -79,7 +80,7 @@ def with_features(df: DataFrame, text: Column) -> DataFrame:
         F.least(F.floor(F.log2(F.col("tokens") + 1) / 2), F.lit(LEVELS - 1)),
         F.least(F.floor(F.col("_n") / F.greatest("tokens", F.lit(1)) / 1.5), F.lit(LEVELS - 1)),
         F.least(F.floor(F.size("words") * LEVELS / F.greatest("tokens", F.lit(1))), F.lit(LEVELS - 1)),
-        _share_class(count(r"""[\x21\x23-\x26\x2a\x2b\x2f\x3c-\x40\x5b-\x60\x7b-\x7e]"""), F.col("_n")),
+        _share_class(count(SYMBOLS), F.col("_n")),
         _share_class(count("[0-9]"), F.col("_n")),
         _share_class(count("[A-Z]"), F.col("_n")),
         _share_class(F.col("_n") - F.length(F.replace("_t", F.lit("\n"), F.lit(""))), F.col("_n")),
@@ -111,13 +112,9 @@ class Classifier:
 
     def features(self) -> Column:
         """All feature numbers of a row with words and shapes: the plan is of one size, however many domains there are."""
-        bits = [0] * (WORD_CLASSES // 64)
-        for w in self.marked:
-            bits[w // 64] |= 1 << w % 64
-        signed = [b - (1 << 64) if b >> 63 else b for b in bits]
-        held, marked, d = _constant(signed, "bigint"), _constant(self.marked, "int"), len(self.domains)
-        there = F.filter("words", lambda w: F.getbit(F.get(held, F.shiftright(w, 6)), w.bitwiseAND(63)) == 1)
-        there = F.transform(there, lambda w: (F.array_position(marked, w) - 1).cast("int"))
+        place = {w: str(i) for i, w in enumerate(self.marked)}
+        places = F.split(F.lit(",".join(place.get(w, "") for w in range(WORD_CLASSES))), ",").try_cast("array<int>")  # null for the others
+        there, d = F.array_compact(F.transform("words", lambda w: F.get(places, w))), len(self.domains)
         strength = _constant([x for row in self.strength for x in row], "int")
         worst = F.aggregate(there, F.array_repeat(F.lit(0), d), lambda a, i: F.zip_with(a, _row(strength, i, d), lambda x, y: F.greatest(x, y)))
         return F.concat("shapes", F.transform(worst, lambda x, i: x + LEVELS * (i + N_SHAPES)))
