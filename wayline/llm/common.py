@@ -119,6 +119,11 @@ def fetch(rows: DataFrame, key: str, facts: DataFrame, salt_by: str, n_rows: int
     return salted.join(wide, (F.col(key) == F.col("_fkey")) & (F.col("_salt") == F.col("_copy"))).drop("_fkey", "_salt", "_copy")
 
 
+def text_hash(text: Column) -> Column:
+    """With the id, what tells rows apart; null texts are empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, and nothing of what else the table carries."""
     return df.select(*[df[n] for n in names])

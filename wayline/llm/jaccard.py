@@ -53,7 +53,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import Scratch, Words, attach, fetch, joint_hash, splitmix, text_blocks
+from .common import Scratch, Words, attach, fetch, joint_hash, splitmix, text_blocks, text_hash
 from .exact_dedup import bitmap, maybe_repeated, maybe_twice
 
 BLOCK = 1024  # members of a signature compared at once
@@ -61,10 +61,6 @@ NEAREST = 4  # partners that a member names in the first of the rounds across co
 SPARE = 15  # first-level partitions beyond those needed, in hundredths
 
 
-def text_hash(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer words than ``width`` are one shingle, no words none."""
     w = Words(texts)

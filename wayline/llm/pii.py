@@ -8,19 +8,21 @@ the entity, n(e,t) of documents with the term among the CONTEXT words on either
 side of the entity. It is at most the entity's information content,
 -log2(n(e) / N), reached when the term never stands without it. Terms whose
 share of it is ALPHA or more disclose the entity, if they met it in at least
-SUPPORT different contexts, so copies of one text are no evidence. Short words
-and numbers are terms like others. In a document that holds the entity, every
-occurrence of such a term, however far from it, becomes a span: removed when it
-never stands without the entity, else generalised to a word class.
+SUPPORT different contexts; with SUPPORT 1 a name that stands once, beside the
+one address, counts. Short words and numbers are terms like others. In a
+document that holds the entity, every occurrence of such a term, however far
+from it, becomes a span: removed when it never stands without the entity, else
+generalised to a word class. ``sanitise`` gives the documents with base spans
+masked by their kind, and these terms removed or generalised.
 
 Counts are exact and distributed; (term, count) pairs and context terms
 shuffle, and a pair that most documents share is counted before it moves. For
 the second pass, terms of documents with entities that a bitmap of the
 disclosing terms does not clear shuffle, and texts that hold such a term may.
 
-Edge cases: a null text is empty. Rows that repeat an id count each on its
-own. A null id stays null. Other columns are ignored. An empty table gives an
-empty result.
+Edge cases: a null text is empty, and stays null when sanitised. Rows that
+repeat an id count each on its own. A null id stays null. Other columns are
+ignored by ``find`` and kept by ``sanitise``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,13 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import WHITE, Words, attach, materialize, text_blocks
+from .common import WHITE, Words, attach, materialize, text_blocks, text_hash
 from .exact_dedup import bitmap, maybe_repeated
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT = 8
 ALPHA = 0.9
-SUPPORT = 2
+SUPPORT = 1
 TERMS_AT_ONCE = 1 << 20  # distinct terms whose counts a task holds before it passes them on
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -104,40 +106,43 @@ def entity(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
+def _terms_of(text: str, taken: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[int], list[bool]]:
+    """Places and hashes of a text's words, and whether each is clear of the spans (sorted by start); one sweep."""
+    words = [(m.start(), m.end()) for m in _TERM.finditer(text)]
+    hashes = Words([" ".join(text[s:e] for s, e in words).encode("utf-8", "replace")], _BETWEEN).hash.view(np.int64).tolist()
+    clear, at, reach = [], 0, 0
+    for s, e in words:
+        while at < len(taken) and taken[at][0] < e:
+            reach = max(reach, taken[at][1])
+            at += 1
+        clear.append(s >= reach)
+    return words, hashes, clear
+
+
 def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Distinct (entity, term, context) of the terms beside each span; context: a hash of all of the span's terms."""
-    words = [(m.start(), m.end()) for m in _TERM.finditer(text)]
+    words, hashes, clear = _terms_of(text, [(s, e) for s, _, e in spans])
     starts, out = [w[0] for w in words], set()
-    taken = [(s, e) for s, _, e in spans]
     for start, kind, end in spans:
         at = bisect.bisect_left(starts, start)
         after = bisect.bisect_left(starts, end)
-        near = [w for w in words[max(0, at - CONTEXT) : at] + words[after : after + CONTEXT] if not any(s < w[1] and w[0] < e for s, e in taken)]
+        near = [hashes[i] for i in (*range(max(0, at - CONTEXT), at), *range(after, min(after + CONTEXT, len(words)))) if clear[i]]
         if near:
-            hashes = Words([" ".join(text[s:e] for s, e in near).encode("utf-8", "replace")], _BETWEEN).hash.view(np.int64).tolist()
-            whole = int.from_bytes(hashlib.blake2b(repr(hashes).encode(), digest_size=8).digest(), "little", signed=True)
+            whole = int.from_bytes(hashlib.blake2b(repr(near).encode(), digest_size=8).digest(), "little", signed=True)
             who = entity(kind, text[start:end])
-            out.update((who, t, whole) for t in hashes)
+            out.update((who, t, whole) for t in near)
     return sorted(out)
 
 
 def occurrences(text: str, spans: list[tuple[int, int]], terms: dict[int, bool]) -> list[tuple[int, int, bool]]:
     """(start, end, value) of every place of the terms outside the spans (sorted by start)."""
-    words = [(m.start(), m.end()) for m in _TERM.finditer(text)]
-    hashes = Words([" ".join(text[s:e] for s, e in words).encode("utf-8", "replace")], _BETWEEN).hash.view(np.int64).tolist()
-    out, at, reach = [], 0, 0
-    for (s, e), t in zip(words, hashes, strict=True):
-        while at < len(spans) and spans[at][0] < e:
-            reach = max(reach, spans[at][1])
-            at += 1
-        if t in terms and s >= reach:
-            out.append((s, e, terms[t]))
-    return out
+    words, hashes, clear = _terms_of(text, spans)
+    return [(s, e, terms[t]) for (s, e), t, free in zip(words, hashes, clear, strict=True) if free and t in terms]
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
 _NEAR = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("context", pa.int64())]))
-_FOUND = "doc_id bigint, base array<struct<start:bigint,kind:int,end:bigint>>, near array<struct<e:bigint,t:bigint,context:bigint>>, entities array<bigint>, held string"
+_FOUND = "doc_id bigint, th bigint, base array<struct<start:bigint,kind:int,end:bigint>>, near array<struct<e:bigint,t:bigint,context:bigint>>, entities array<bigint>, held string"
 _ADDED = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("removed", pa.bool_())]))
 
 
@@ -155,8 +160,8 @@ def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near.append([dict(zip(("e", "t", "context"), c, strict=True)) for c in beside])
             entities.append(sorted({entity(k, text[s:e]) for s, k, e in spans}))
             held.append(text if spans else None)
-        columns = [batch.column("doc_id"), pa.array(base, _SPAN), pa.array(near, _NEAR), pa.array(entities, pa.list_(pa.int64())), pa.array(held, pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "base", "near", "entities", "held"])
+        columns = [batch.column("doc_id"), batch.column("th"), pa.array(base, _SPAN), pa.array(near, _NEAR), pa.array(entities, pa.list_(pa.int64())), pa.array(held, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "base", "near", "entities", "held"])
 
 
 def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,13 +180,16 @@ def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in text_blocks(batches):
         base, told = batch.column("base"), batch.column("told")
-        added = []
+        added, masked_texts = [], []
         for i, raw in enumerate(texts):
-            terms = {x["t"]: x["always"] for x in told[i].as_py()}
-            taken = [(x["start"], x["end"]) for x in base[i].as_py()]
-            found = occurrences(raw.decode("utf-8", "replace"), taken, terms)
+            text = raw.decode("utf-8", "replace")
+            terms = {x["t"]: x["always"] for x in told[i].as_py() or []}
+            own = base[i].as_py()
+            found = occurrences(text, [(x["start"], x["end"]) for x in own], terms) if terms else []
             added.append([{"start": s, "kind": 4, "end": e, "removed": always} for s, e, always in found])
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(added, _ADDED)], names=["rid", "added"])
+            spans = sorted([(x["start"], x["kind"], x["end"], False) for x in own] + [(s, 4, e, always) for s, e, always in found])
+            masked_texts.append(masked(text, spans))
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(added, _ADDED), pa.array(masked_texts, pa.string())], names=["rid", "added", "masked"])
 
 
 def _term_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,15 +223,14 @@ def _count_batches(t: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(t[at : at + (1 << 16)].view(np.int64)), pa.array(n[at : at + (1 << 16)].astype(np.int64))], names=["t", "n"])
 
 
-def disclosing(near: DataFrame, docs: DataFrame, n_docs: int, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def disclosing(near: DataFrame, holders: DataFrame, docs: DataFrame, n_docs: int, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """(e, t, n_et, pmi, information, always) of the terms that reveal an entity.
 
-    ``near``: distinct (rid, e, t, context)."""
+    ``near``: distinct (rid, e, t, context); ``holders``: distinct (rid, e)."""
     supported = near.select(F.col("e").alias("_ee"), F.col("t").alias("_tt"), "context").distinct().groupBy("_ee", "_tt").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= support)
     pairs = near.select("rid", "e", "t").distinct().groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_et"))
     pairs = pairs.join(supported, (F.col("e") == F.col("_ee")) & (F.col("t") == F.col("_tt")), "left_semi")
-    holders = near.select("rid", "e", "context").distinct().groupBy("e", "rid").agg(F.lit(1).alias("one")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
-    holders = holders.withColumnRenamed("e", "_e")
+    holders = holders.groupBy(F.col("e").alias("_e")).agg(F.count(F.lit(1)).alias("n_e"))
     counts = docs.select(docs["text"].alias("text")).mapInArrow(_term_counts, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n_t")).withColumnRenamed("t", "_t")
     known = pairs.join(holders, F.col("e") == F.col("_e")).join(counts, F.col("t") == F.col("_t"))
     information = -F.log2(F.col("n_e") / F.lit(float(n_docs)))
@@ -250,19 +257,36 @@ def _told(found: DataFrame, told: DataFrame) -> DataFrame:
     return met.groupBy("rid", "t").agg(F.max("always").alias("always")).groupBy("rid").agg(F.collect_list(F.struct("t", "always")).alias("told"))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, base and added spans (start, kind, end, removed) sorted by start and kind."""
+def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    """One row a document: doc_id, th (a hash of the text), base and all spans (start, kind, end, removed) sorted by start and kind, and the masked text (null where there is nothing to mask)."""
     ship(docs.sparkSession)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), text_hash(docs["text"]).alias("th"))
     found = materialize(rows.mapInArrow(_find, _FOUND).withColumn("rid", F.monotonically_increasing_id()), "pii")
     n_docs = found.count()
     near = found.where("size(near) > 0").select("rid", F.explode("near").alias("x")).select("rid", "x.e", "x.t", "x.context")
-    told = materialize(disclosing(near, docs, n_docs), "pii-terms").select("e", "t", "always")
-    added = found.select("rid", "base", F.col("held").alias("text")).join(_told(found, told).withColumnRenamed("rid", "_rid"), F.col("rid") == F.col("_rid")).select("rid", "base", "text", "told")
-    added = added.mapInArrow(_mark, "rid bigint, added array<struct<start:bigint,kind:int,end:bigint,removed:boolean>>")
+    holders = found.where("size(entities) > 0").select("rid", F.explode("entities").alias("e"))
+    told = materialize(disclosing(near, holders, docs, n_docs, alpha, support), "pii-terms").select("e", "t", "always")
+    holding = found.where("size(base) > 0").select("rid", "base", F.col("held").alias("text"))
+    added = holding.join(_told(found, told).withColumnRenamed("rid", "_rid"), F.col("rid") == F.col("_rid"), "left").select("rid", "base", "text", "told")
+    added = added.mapInArrow(_mark, "rid bigint, added array<struct<start:bigint,kind:int,end:bigint,removed:boolean>>, masked string")
     joined = found.join(added.withColumnRenamed("rid", "_rid"), F.col("rid") == F.col("_rid"), "left")
     base = F.expr("transform(base, s -> struct(s.start as start, s.kind as kind, s.end as end, false as removed))")
-    return joined.select("doc_id", "base", F.array_sort(F.concat(base, F.coalesce("added", F.expr("array()").cast("array<struct<start:bigint,kind:int,end:bigint,removed:boolean>>")))).alias("spans"))
+    spans = F.array_sort(F.concat(base, F.coalesce("added", F.expr("array()").cast("array<struct<start:bigint,kind:int,end:bigint,removed:boolean>>"))))
+    return joined.select("doc_id", "th", "base", spans.alias("spans"), "masked")
+
+
+def sanitise(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents with what ``find`` found (written once before) masked, removed or generalised, with all their columns.
+
+    Documents that a bitmap of the changed ones clears do not shuffle. Rows with
+    one id and text are masked alike."""
+    changed = found.where("masked is not null").groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(F.first("masked").alias("masked"))
+    held, bits = bitmap(changed.select(F.xxhash64("_doc", "_th").alias("h")), max(changed.count(), 1))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc"), text_hash(docs["text"]).alias("th"))
+    tested = maybe_repeated(rows.withColumn("h", F.xxhash64("doc", "th")), held, bits)
+    joined = tested.where("maybe").join(changed, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")), "left")
+    new = joined.select(F.col("row").withField("text", F.coalesce("masked", "row.text")).alias("row"))
+    return tested.where("not maybe").select("row.*").unionByName(new.select("row.*"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -270,7 +294,8 @@ def digest(found: DataFrame) -> DataFrame:
     names = "array('email','ip','card','phone','term')"
     shown = "array_join(transform({}, s -> concat(element_at(" + names + ", s.kind + 1), ':', s.start, ':', s.end)), ',')"
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {k})) as bigint)").alias(f"n_{KINDS[k]}") for k in range(4)]
-    return found.select("doc_id", *counts, F.sha2(F.expr(shown.format("base")).cast("binary"), 256).alias("base_sha256"), F.expr(shown.format("spans")).alias("spans"))
+    terms = [F.expr(f"cast(size(filter(spans, s -> s.kind = 4 and {test})) as bigint)").alias(name) for name, test in (("n_removed", "s.removed"), ("n_generalised", "not s.removed"))]
+    return found.select("doc_id", *counts, F.sha2(F.expr(shown.format("base")).cast("binary"), 256).alias("base_sha256"), F.expr(shown.format("spans")).alias("spans"), *terms, F.sha2(F.col("masked").cast("binary"), 256).alias("masked_sha256"))
 
 
 def masked(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
