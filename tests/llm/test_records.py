@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -333,17 +334,14 @@ def test_arc(version):
 
 
 def brute_top(vectors, every, k):
-    known = {}
-    for i, v in vectors:
-        if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
-            continue
-        w = [int(np.floor(256.0 * x)) for x in v]
-        known[i] = min(known.get(i, w), w)
-    out = set()
-    for i, w in known.items():
+    """Each row against all other rows, those of its own id too."""
+    fine = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = Counter()
+    for a, (i, v) in enumerate(fine):
         if i % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(w, u, strict=True)), j) for j, u in known.items() if j != i and len(u) == len(w))
-            out |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:k])}
+            scores = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j) for b, (j, w) in enumerate(fine) if a != b and len(w) == len(v))
+            for rank, (s, j) in enumerate(scores[:k], 1):
+                out[i, rank, j, -s] += 1
     return out
 
 
@@ -351,11 +349,11 @@ def test_topk(spark, monkeypatch):
     rng = np.random.default_rng(1)
     vectors = [(int(i), [float(x) for x in rng.normal(size=6)]) for i in range(0, 1500)]
     vectors += [(2000 + i, vectors[i % 3][1]) for i in range(300)]  # ties
-    vectors += [(5000, None), (5050, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (5100, [float("nan")] * 6), (5150, [float("inf")] * 6), (None, [1.0] * 6), (5200, [1.0, 2.0]), (5201, [0.5, 0.5]), (5250, []), (100, [0.0] * 6), (10**15, [3.0] * 6), (-50, [1e5] * 6)]
+    vectors += [(5000, None), (5050, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (5100, [float("nan")] * 6), (5150, [float("inf")] * 6), (None, [1.0] * 6), (5200, [1.0, 2.0]), (5201, [0.5, 0.5]), (5250, []), (100, [0.0] * 6), (150, [7.0] * 6), (151, [9.0] * 6), (151, [8.0] * 6), (10**15, [3.0] * 6), (-50, [1e5] * 6)]
     monkeypatch.setattr(topk, "GROUP", 400)
     df = spark.createDataFrame([(i, v, 0) for i, v in vectors], "vec_id bigint, embedding array<double>, id int")
     rows = df.select(F.col("vec_id").alias("id"), topk.integer_weights(F.col("embedding")).alias("weights"))
-    got = {tuple(r) for r in topk.search(rows, F.col("id") % 50 == 0).collect()}
+    got = Counter(tuple(r) for r in topk.search(rows, F.col("id") % 50 == 0).collect())
     assert got == brute_top(vectors, 50, topk.K)
     assert topk.search(rows.limit(0), F.col("id") % 50 == 0).count() == 0
 
@@ -363,7 +361,7 @@ def test_topk(spark, monkeypatch):
 def test_blocks_are_skipped():
     rng = np.random.default_rng(3)
     blocks = [(np.arange(100) + 100 * b, (rng.normal(size=(100, 8)) * 10 + 200 * np.eye(8)[b % 8]).astype(np.int64)) for b in range(40)]
-    held = topk.Blocks(8, [(i, w.ravel()) for i, w in blocks])
+    held = topk.Blocks(8, [(i, i, w.ravel()) for i, w in blocks])
     queries = np.stack([b[1][0] for b in blocks])
     own = np.array([b[0][0] for b in blocks])
     scores, ids = held.search(own, queries, 5)
