@@ -9,10 +9,11 @@ their content stands first in the corpus, by (doc_id, position). Each match is
 extended both ways as long as the lines agree; the later copy of a run of at
 least GRAM lines, or with LONG_WORDS words, is deleted.
 
-So every run of GRAM + WINDOW - 1 lines or more that stood before is found: of
-its lines at most WINDOW - 1 at either end stay. Of a shorter run with LONG_WORDS
-words that stood before nothing stays. The first copy of a fingerprint always
-stays.
+Windows alone guarantee runs of GRAM + WINDOW - 1 lines. For shorter ones there is
+an exact way: of the runs of GRAM lines that no window chose, those join whose
+hash a bitmap, of all that stand more than once, can't clear. So every run of
+GRAM lines or more that stood before is found, and nothing of it stays; the first
+copy of a fingerprint always stays.
 
 Only hashes move, and of each content one first place: a line in a third of all
 documents is counted before it shuffles, and its first place is broadcast with
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..ship import ship
 from .common import Words, attach, joint_hash, materialize, splitmix, text_blocks
-from .exact_dedup import bitmap, maybe_repeated
+from .exact_dedup import bitmap, maybe_repeated, maybe_twice
 
 GRAM, WINDOW, LONG_WORDS = 2, 2, 50
 
@@ -59,9 +60,9 @@ def line_hashes(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.nda
 
 
 def winnow(lines: np.ndarray, words: np.ndarray, gram: int, window: int, long_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(content hash, position, length) of the fingerprints of a sequence of lines."""
+    """(content hash, position, chosen) of the runs of a sequence of lines: fingerprints, and the others."""
     long = np.flatnonzero(words >= long_words)
-    keys, at, size = [joint_hash(np.ones(len(long), np.uint64), lines[long])], [long], [np.ones(len(long), np.int64)]
+    keys, at, chosen_ = [joint_hash(np.ones(len(long), np.uint64), lines[long])], [long], [np.ones(len(long), bool)]
     n = len(lines) - gram + 1
     if n > 0:
         grams = joint_hash(np.full(n, gram, np.uint64), *[lines[i : i + n] for i in range(gram)])
@@ -71,10 +72,10 @@ def winnow(lines: np.ndarray, words: np.ndarray, gram: int, window: int, long_wo
         least = np.arange(len(view)) + wide - 1 - view[:, ::-1].argmin(1)
         upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(words, dtype=np.int64)])
         chosen = np.union1d(least, np.flatnonzero(upto[gram:] - upto[:n] >= long_words))
-        keys.append(grams[chosen])
-        at.append(chosen)
-        size.append(np.full(len(chosen), gram, np.int64))
-    return np.concatenate(keys), np.concatenate(at), np.concatenate(size)
+        keys.append(grams)
+        at.append(np.arange(n))
+        chosen_.append(np.isin(np.arange(n), chosen))
+    return np.concatenate(keys), np.concatenate(at), np.concatenate(chosen_)
 
 
 def extend(later: np.ndarray, earlier: np.ndarray, at: int, source: int, same: bool) -> tuple[int, int]:
@@ -121,8 +122,9 @@ def _scan(gram: int, window: int, long_words: int):
                     pa.array([f[2] for f in found], _LONG),
                     pa.array([m[0].view(np.int64) for m in marks], _LONG),
                     pa.array([m[1] for m in marks], _LONG),
+                    pa.array([m[2] for m in marks], pa.list_(pa.bool_())),
                 ],
-                names=["doc_id", "th", "n_lines", "lines", "words", "number", "keys", "at"],
+                names=["doc_id", "th", "n_lines", "lines", "words", "number", "keys", "at", "chosen"],
             )
 
     return run
@@ -152,12 +154,14 @@ def find(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, long_words: in
     """(doc_id, th, n_lines, gone) of each distinct document; gone: numbers of its lines to delete, from 0, sorted."""
     ship(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), text_hash(docs).alias("th"))
-    schema = "doc_id bigint, th bigint, n_lines bigint, lines array<bigint>, words array<bigint>, number array<bigint>, keys array<bigint>, at array<bigint>"
+    schema = "doc_id bigint, th bigint, n_lines bigint, lines array<bigint>, words array<bigint>, number array<bigint>, keys array<bigint>, at array<bigint>, chosen array<boolean>"
     found = rows.mapInArrow(_scan(gram, window, long_words), schema).dropDuplicates(["doc_id", "th"])
     found = materialize(found.withColumn("id", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "th")), "lines")
     n = max(found.count(), 1)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "pos")
-    places = found.select("id", "doc_id", "th", F.explode(F.arrays_zip("keys", "at")).alias("x")).select("id", "doc_id", "th", F.col("x.keys").alias("key"), F.col("x.at").alias("pos"))
+    places = found.select("id", "doc_id", "th", F.explode(F.arrays_zip("keys", "at", "chosen")).alias("x")).select("id", "doc_id", "th", F.col("x.keys").alias("h"), F.col("x.at").alias("pos"), "x.chosen")
+    n_places = found.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first()["n"]
+    places = maybe_twice(places, n_places).where("chosen or maybe").select("id", "doc_id", "th", F.col("h").alias("key"), "pos")
     firsts = places.groupBy("key").agg(F.min(F.struct(*[order], "id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     firsts = materialize(firsts.select("key", "n", F.col("first.id").alias("source_id"), F.col(f"first.{'col1'}.pos").alias("source")), "lines-firsts")
     joined = attach(places.select("id", "key", "pos"), firsts, "key", "n", n).where("source_id is not null and not (id = source_id and pos = source)")
