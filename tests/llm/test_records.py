@@ -95,6 +95,30 @@ def test_packing_merges_up_the_tree(spark, tokenizer):
     assert n <= 1.1 * tokens / 256  # of bins of ten documents each, merged whole
 
 
+def test_packing_bins_that_nothing_fills(spark, tokenizer):
+    """Pieces of more than half the capacity, and one small one: no node gets them all."""
+    rows = [(i, prose(i, 110 + i % 60)) for i in range(150)]
+    table = as_table(spark, rows).repartition(30)
+    got = packing.pack(table, tokenizer_path(), capacity=1024, slack=2, fan_in=3).collect()
+    check_packed(rows, got, tokenizer, 1024)
+    one = packing.pack(as_table(spark, [*rows, (999, "a")]).repartition(30), tokenizer_path(), capacity=1024, slack=2, fan_in=3, node_bins=20)
+    n, tokens = check_packed([*rows, (999, "a")], one.collect(), tokenizer, 1024)
+    assert n <= len(rows) + 1
+
+
+def test_another_merge_order_goes_to_the_library(tmp_path):
+    import json
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        made = json.load(f)
+    merges = made["model"]["merges"]
+    merges[300], merges[9000] = merges[9000], merges[300]
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(made, f)
+    assert packing.ByteBpe(tokenizer_path())._fast is not None and packing.ByteBpe(path)._fast is None
+
+
 # --------------------------------------------------------------------- PII
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

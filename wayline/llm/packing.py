@@ -2,11 +2,13 @@
 
 Every partition tokenises its documents, cuts those of more than the capacity,
 and packs its pieces best-fit, longest first. Bins with at most SLACK free
-tokens are done. The underfull rest become items themselves: groups of FAN_IN
-partitions merge theirs by best-fit, emit what is nearly full, and pass on what
-is not, up a tree, until one group is left. A bin carries its members, at most
-one a token, so no level needs a join to find them again; data shrinks from
-level to level by the share of bins that are done.
+tokens are done, and so are those that the smallest bin left no longer fits in.
+The underfull rest become items themselves: they are dealt to a FAN_IN-th as many
+nodes, which merge theirs by best-fit, emit what is done, and pass on what is
+not, up a tree. A bin carries its members, at most one a token, so no level
+needs a join to find them again. The tree ends with one node, or with as many as
+keep NODE_BINS bins to a node on average: best-fit over so many wastes next to
+nothing, and no task grows with the corpus.
 
 Local packing holds its partition's piece lengths, not its texts; input
 partitions are bounded by ``spark.sql.files.maxPartitionBytes``.
@@ -34,6 +36,7 @@ CAPACITY = 2048
 SEPARATOR = 0
 SLACK = 8
 FAN_IN = 8
+NODE_BINS = 50_000
 MEMBER = "array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 BIN = f"bin bigint, used bigint, node bigint, members {MEMBER}"
 
@@ -53,7 +56,10 @@ class ByteBpe:
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         model, before = made["model"], made.get("pre_tokenizer") or {}
-        usual = model.get("type") == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made.get("normalizer") and not model.get("ignore_merges")
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges") or []]
+        made_of = [model["vocab"].get(a + b, -1) for a, b in merges]
+        in_order = all(a < b for a, b in zip(made_of, made_of[1:]))  # tiktoken merges by id, the file by place
+        usual = in_order and model.get("type") == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made.get("normalizer") and not model.get("ignore_merges")
         if usual:
             import tiktoken
 
@@ -77,7 +83,7 @@ class ByteBpe:
             return np.array(self.slow(text), "<u4")
         try:
             return np.asarray(self._fast.encode_to_numpy(text, disallowed_special=()), "<u4")
-        except Exception:  # its splitter gives up on some very long runs of white space
+        except ValueError:  # its splitter gives up on some very long runs of white space
             return np.array(self.slow(text), "<u4")
 
 
@@ -136,7 +142,7 @@ def pack_locally(path: str, capacity: int):
     return run
 
 
-def merge(capacity: int, fan_in: int):
+def merge(capacity: int):
     """The underfull bins of a node's children, packed again; their ids stay unique, as a bin takes one of its own members'."""
 
     def run(key: tuple, frame: pa.Table) -> pa.Table:
@@ -166,23 +172,27 @@ def _bins(items: list[tuple[list, int]], capacity: int, first: int, node: int) -
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _arrow_types(), strict=True)], names=["bin", "used", "node", "members"])
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int = SLACK, fan_in: int = FAN_IN) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int = SLACK, fan_in: int = FAN_IN, node_bins: int = NODE_BINS) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     ship(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     level = materialize(rows.mapInArrow(pack_locally(tokenizer, capacity), BIN), "pack")
-    done, depth = [], 0
+    done, depth, nodes = [], 0, None
     while True:
-        full = f"used >= {capacity - slack}"
-        nodes = level.where(f"not ({full})").agg(F.max("node").alias("top"), F.countDistinct("node").alias("n")).first()
-        if nodes["n"] <= (1 if depth else 0):
+        under = level.where(F.col("used") < capacity - slack)
+        seen = under.agg(F.min("used").alias("least"), F.countDistinct("node").alias("nodes")).first()
+        # whoever has less room than the least of them takes none
+        open_ = (F.col("used") < capacity - slack) & (F.col("used") <= capacity - (seen["least"] or 0))
+        left = level.where(open_).count()
+        nodes = seen["nodes"] if nodes is None else nodes
+        upper = max(-(-nodes // fan_in), -(-left // node_bins))
+        if not left or upper >= nodes:
             done.append(level)
             break
-        done.append(level.where(full))
-        rest = level.where(f"not ({full})").withColumn("node", F.expr(f"node div {fan_in}"))
-        parts = int(nodes["top"]) // fan_in + 1
-        merged = rest.repartition(parts, "node").groupBy("node").applyInArrow(merge(capacity, fan_in), BIN)
-        level, depth = materialize(merged, f"pack-{depth + 1}"), depth + 1
+        done.append(level.where(~open_))
+        rest = level.where(open_).withColumn("node", F.pmod(F.xxhash64("bin"), F.lit(upper)))
+        merged = rest.repartition(upper, "node").groupBy("node").applyInArrow(merge(capacity), BIN)
+        level, depth, nodes = materialize(merged, f"pack-{depth + 1}"), depth + 1, upper
     bins = done[0]
     for more in done[1:]:
         bins = bins.unionByName(more)
