@@ -261,6 +261,50 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int
     return met.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("label").alias("label")).withColumn("place", F.xxhash64("doc_id"))
 
 
+def lean(run):
+    """A function for ``mapInArrow`` that hands the memory it has freed back to the system when its task ends.
+
+    Workers live on from task to task beside the executor's own memory, and would keep it."""
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+        import gc
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
+def apart(work, *args) -> bytes:
+    """What ``work`` returns, made in a child process, whose memory goes with it."""
+    import os
+
+    back, out = os.pipe()
+    child = os.fork()
+    if not child:
+        done = 1
+        try:
+            os.close(back)
+            with os.fdopen(out, "wb") as f:
+                f.write(work(*args))
+            done = 0
+        finally:
+            os._exit(done)
+    os.close(out)
+    with os.fdopen(back, "rb") as f:
+        made = f.read()
+    if os.waitpid(child, 0)[1]:
+        raise RuntimeError("the child process failed")
+    return made
+
+
 def train_remotely(sample: DataFrame, fit, most_bytes: int = SAMPLE_BYTES):
     """What ``fit`` makes of (texts, labels) of the sample, trained in one task of an executor.
 
@@ -279,14 +323,14 @@ def train_remotely(sample: DataFrame, fit, most_bytes: int = SAMPLE_BYTES):
                     kept.append((doc_id, raw, label))
                     left -= len(raw)
         kept.sort(key=lambda row: row[0])
-        model = pickle.dumps(fit([k[1] for k in kept], np.array([k[2] for k in kept], np.int64)))
+        model = apart(lambda: pickle.dumps(fit([k[1] for k in kept], np.array([k[2] for k in kept], np.int64))))
         for at in range(0, len(model), 1 << 20):
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([model[at : at + (1 << 20)]], pa.binary())], names=["at", "part"])
 
     import pickle
 
     one = sample.select("place", "doc_id", "text", "label").repartition(1).sortWithinPartitions("place", "doc_id")
-    parts = one.mapInArrow(run, "at bigint, part binary").collect()  # the model: of bounded size, as the sample is
+    parts = one.mapInArrow(lean(run), "at bigint, part binary").collect()  # the model: of bounded size, as the sample is
     if not parts:  # an empty sample may have no task
         return fit([], np.zeros(0, np.int64))
     return pickle.loads(b"".join(bytes(p["part"]) for p in sorted(parts, key=lambda p: p["at"])))

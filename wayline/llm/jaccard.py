@@ -53,7 +53,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import Scratch, Words, attach, fetch, joint_hash, splitmix, text_blocks, text_hash
+from .common import Scratch, Words, attach, fetch, joint_hash, lean, splitmix, text_blocks, text_hash
 from .exact_dedup import bitmap, maybe_repeated, maybe_twice
 
 BLOCK = 1024  # members of a signature compared at once
@@ -393,7 +393,7 @@ class Join:
         self.scratch = Scratch(docs.sparkSession, "jaccard")
         self.docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), text_hash(docs["text"]).alias("th"))
         schema = "doc_id bigint, th bigint, n bigint, sid bigint, sketch binary"
-        rows = self.docs.mapInArrow(_sets(width, share), schema).withColumn("rid", F.monotonically_increasing_id()).withColumn("h", F.col("sid"))
+        rows = self.docs.mapInArrow(lean(_sets(width, share)), schema).withColumn("rid", F.monotonically_increasing_id()).withColumn("h", F.col("sid"))
         self.rows = self.scratch.save(rows, "sets")
         filled = self.rows.where("n > 0")
         self.n_rows = self.rows.count()
@@ -407,8 +407,8 @@ class Join:
         self.classes = alone.unionByName(kept)
 
     def members(self) -> DataFrame:
-        rows = self.docs.select("text").mapInArrow(_signatures(self.width, self.share), "sig bigint, sid bigint")
-        return self.scratch.save(rows.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(_members, "sig bigint, center bigint, sid bigint"), "members")
+        rows = self.docs.select("text").mapInArrow(lean(_signatures(self.width, self.share)), "sig bigint, sid bigint")
+        return self.scratch.save(rows.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(lean(_members), "sig bigint, center bigint, sid bigint"), "members")
 
     def links(self, pairs: DataFrame, turn: str) -> DataFrame:
         """Of candidate pairs (a, b) those that are similar, by their whole sets."""
@@ -425,12 +425,12 @@ class Join:
                 sets = [s for s in shingle_sets(texts, width) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "members"])
 
-        made = again.mapInArrow(remake, "sid bigint, members binary").join(wanted, F.col("sid") == F.col("_sid"), "left_semi")
+        made = again.mapInArrow(lean(remake), "sid bigint, members binary").join(wanted, F.col("sid") == F.col("_sid"), "left_semi")
         one = scratch.save(made.groupBy("sid").agg(F.min("members").alias("members")), f"once-{turn}")
         n = max(pairs.count(), 1)
         met = fetch(pairs, "a", one.select(F.col("sid").alias("a"), F.col("members").alias("set_a")), "b", n)
         met = fetch(met, "b", one.select(F.col("sid").alias("b"), F.col("members").alias("set_b")), "a", n)
-        links = scratch.save(met.select("a", "b", "set_a", "set_b").mapInArrow(_verify(self.share), "a bigint, b bigint"), f"similar-{turn}")
+        links = scratch.save(met.select("a", "b", "set_a", "set_b").mapInArrow(lean(_verify(self.share)), "a bigint, b bigint"), f"similar-{turn}")
         scratch.drop(f"wanted-{turn}", f"once-{turn}")
         return links
 
@@ -453,7 +453,7 @@ class Join:
         a, b = (nodes.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
         near = fetch(fetch(star, "a", a, "b", n_star), "b", b, "a", n_star).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
         near = near.where(f"100 * least(n_a, n_b) >= {self.share} * greatest(n_a, n_b)")
-        links = self.links(scratch.save(near.mapInArrow(_passing(self.share), "a bigint, b bigint"), "near"), "star")
+        links = self.links(scratch.save(near.mapInArrow(lean(_passing(self.share)), "a bigint, b bigint"), "near"), "star")
         scratch.drop("star", "near")
         roots = components(links, scratch).withColumnRenamed("sid", "_sid")
         # members whose signature still joins several components: in rounds, the nearest partners first
@@ -469,7 +469,7 @@ class Join:
             left = left.withColumn("blocks", F.expr(f"cast(ceil(size / {BLOCK}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(sid), blocks) as int)"))
             left = left.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
             left = left.select("sig", "bi", "bj", "block", "sid", "comp", "n", "sketch")
-            more = left.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj").mapInArrow(_across(self.share, most), "a bigint, b bigint, again bigint").distinct()
+            more = left.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj").mapInArrow(lean(_across(self.share, most)), "a bigint, b bigint, again bigint").distinct()
             more = scratch.save(more, f"across-{turn}")
             scratch.drop(f"told-{turn}", f"split-{turn}")
             pairs = more.where("a is not null").select("a", "b")

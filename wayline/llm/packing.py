@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import materialize, text_blocks
+from .common import lean, materialize, text_blocks
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -176,7 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int =
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     ship(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    level = materialize(rows.mapInArrow(pack_locally(tokenizer, capacity), BIN), "pack")
+    level = materialize(rows.mapInArrow(lean(pack_locally(tokenizer, capacity)), BIN), "pack")
     done, depth, nodes = [], 0, None
     while True:
         under = level.where(F.col("used") < capacity - slack)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import BLOCK_BYTES, Words, labelled_sample, remainder, text_blocks, train_remotely
+from .common import BLOCK_BYTES, Words, labelled_sample, lean, remainder, text_blocks, train_remotely
 
 SAMPLE = {0: 3000, 1: 3000}
 THRESHOLD = 0.3
@@ -214,5 +214,5 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
 
     ship(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    out = rows.mapInArrow(run, "doc_id bigint, score double, predicted int")
+    out = rows.mapInArrow(lean(run), "doc_id bigint, score double, predicted int")
     return out.select("doc_id", (remainder(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"), "score", "predicted")

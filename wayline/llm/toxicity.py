@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import WHITE, Words, labelled_sample, remainder, text_blocks, train_remotely
+from .common import WHITE, Words, labelled_sample, lean, remainder, text_blocks, train_remotely
 
 SAMPLE = {0: 1800, 1: 900}
 THRESHOLD = 0.7
@@ -412,7 +412,7 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    out = rows.mapInArrow(run, "doc_id bigint, score double, predicted int")
+    out = rows.mapInArrow(lean(run), "doc_id bigint, score double, predicted int")
     return out.select("doc_id", (remainder(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"), "score", "predicted")
 
 
@@ -432,4 +432,4 @@ def keep(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFra
             if parts:
                 yield batch.filter(pa.array(np.concatenate(parts)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
