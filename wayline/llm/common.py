@@ -67,6 +67,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets go of what earlier jobs left on the driver: plans and generated classes, and shuffle files and broadcasts, which Spark deletes once nothing on the driver refers to them."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables of one run in the shared folder, by name; ``drop`` deletes those whose readers have all written their results."""
 
@@ -82,6 +90,7 @@ class Scratch:
         for name in names or list(self.paths):
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        tidy(self.spark)
 
 
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, spread: str | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, fresh_path, materialize
+from .common import attach, fresh_path, materialize, tidy
 
 BITS_PER_ROW = 16
 MAX_BITS = 1 << 31
@@ -123,6 +123,7 @@ def keep(docs: DataFrame) -> DataFrame:
     tested, n = _digests(docs)
     groups = _groups(tested.where("maybe")).where("group_size > 1").withColumn("h", F.xxhash64("text_sha256"))
     groups = materialize(groups, "exact-groups")
+    tidy(docs.sparkSession)
     held, bits = bitmap(groups, max(groups.count(), 1))
     marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.sha2(normalized(docs["text"]).cast("binary"), 256).alias("text_sha256"))
     found = maybe_repeated(marked.withColumn("h", F.xxhash64("text_sha256")), held, bits)

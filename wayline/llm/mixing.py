@@ -45,7 +45,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, materialize
+from .common import attach, materialize, tidy
 
 MAX_DOMAINS = 64
 SAMPLE = 4000  # documents of a domain that train the classifier
@@ -224,6 +224,7 @@ def fit(docs: DataFrame, examples: DataFrame, weights: dict[str, float] | None =
     # a cell's rate moves along the cell's mean posteriors
     mean = F.when(F.col("tokens") > 0, F.transform("s", lambda x: x / F.col("tokens"))).otherwise(F.col("p0"))
     cells = materialize(cells.withColumn("p", mean).drop("p0"), "mix-cells")
+    tidy(docs.sparkSession)
     natural = _sums(cells, "1D", d)
     whole = sum(natural)
     raw = [max(float(weights.get(s, 0.0)), 0.0) for s in domains] if weights else [x**temper for x in natural]
@@ -249,6 +250,7 @@ def fit(docs: DataFrame, examples: DataFrame, weights: dict[str, float] | None =
             moves[-1][-1], turn = 0.0, 1.0
         ahead = [s + moves[-1][-1] * (s - b) for s, b in zip(reached, before, strict=True)]
     cells = materialize(cells.withColumn("rate", F.expr(_rate(min_rate, moves))), "mix-rates")
+    tidy(docs.sparkSession)
     return Mix(rows, cells, classifier, targets, natural, reached, len(moves), converged)
 
 
