@@ -64,6 +64,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -84,13 +85,13 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.paths[name] = fresh_path(self.spark, f"{self.label}-{name}")
         df.write.option("compression", "zstd").parquet(path)
+        tidy(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names or list(self.paths):
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        tidy(self.spark)
 
 
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, spread: str | None = None) -> DataFrame:
