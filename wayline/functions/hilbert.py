@@ -99,8 +99,25 @@ def neighbours(number: int, bits: int, dims: int) -> list[int]:
 
 
 def ranges(low: list[int], high: list[int], bits: int) -> list[tuple[int, int]]:
-    """Closed runs of curve numbers that cover a box of cells, both corners included."""
-    grid = np.array(list(itertools.product(*[range(a, b + 1) for a, b in zip(low, high, strict=True)])))
-    h = np.sort(numbers(grid, bits))
-    cut = np.flatnonzero(np.diff(h) > 1)
-    return [(int(a), int(b)) for a, b in zip(h[np.r_[0, cut + 1]], h[np.r_[cut, len(h) - 1]], strict=True)]
+    """Closed runs of curve numbers that cover a box of cells, both corners included.
+
+    Descends the curve's quadrants: whole ones inside the box are one run, those
+    across its sides are cut further, so work and memory grow with the box's
+    surface, not with its cells."""
+    lo, hi, dims = np.array(low, np.int64), np.array(high, np.int64), len(low)
+    steps = np.array(list(itertools.product((0, 1), repeat=dims)), np.int64)
+    blocks, found = np.zeros((1, dims), np.int64), []
+    for level in range(bits, -1, -1):
+        first, last = blocks << level, ((blocks + 1) << level) - 1
+        inside = ((first >= lo) & (last <= hi)).all(1)
+        size = 1 << (level * dims)
+        start = numbers(first[inside], bits) // size * size
+        found.append(np.stack([start, start + size - 1], 1))
+        cut = ~inside & ((last >= lo) & (first <= hi)).all(1)
+        blocks = ((blocks[cut] << 1)[:, None, :] + steps).reshape(-1, dims)
+    runs = np.concatenate(found)
+    runs = runs[np.argsort(runs[:, 0])]
+    if not len(runs):
+        return []
+    opens = np.r_[True, runs[1:, 0] > runs[:-1, 1] + 1]
+    return [(int(a), int(b)) for a, b in zip(runs[opens, 0], runs[np.r_[opens[1:], True], 1], strict=True)]

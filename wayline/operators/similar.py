@@ -19,19 +19,22 @@ Point = tuple[float, float]
 def frechet(a: np.ndarray, b: np.ndarray, stop: float = np.inf) -> float:
     """Discrete Frechet distance of two rows of (x, y) points; infinite once it is known to exceed ``stop``.
 
-    The table is filled by anti-diagonals, so each step is one vector operation."""
-    dx, dy = a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1]
-    d = np.sqrt(dx * dx + dy * dy)
-    n, m = d.shape
-    if max(d[0, 0], d[-1, -1]) > stop:
+    The table is filled by anti-diagonals, so each step is one vector operation,
+    and holds three of them, whatever the lengths."""
+    n, m = len(a), len(b)
+
+    def apart(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        dx, dy = a[i, 0] - b[j, 0], a[i, 1] - b[j, 1]
+        return np.sqrt(dx * dx + dy * dy)
+
+    if apart(np.array([0, n - 1]), np.array([0, m - 1])).max() > stop:
         return np.inf
-    flipped = d[:, ::-1]
     before, older = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
     for s in range(n + m - 1):
         lo, hi = max(0, s - m + 1), min(n - 1, s)
-        here = np.diagonal(flipped, m - 1 - s)
         now = np.full(n + 1, np.inf)
         rows = np.arange(lo, hi + 1)
+        here = apart(rows, s - rows)
         if s == 0:
             now[1] = here[0]
         else:

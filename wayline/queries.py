@@ -24,6 +24,7 @@ GRID2 = Grid(4, 2, 0.0, 0.0, 1704067200000, 16.0, 16.0, 1706745600000)
 GRID3 = Grid(3, 3, 0.0, 0.0, 1704067200000, 16.0, 16.0, 1706745600000)
 QUERY_USER, K, EPS = 8, 5, 1.5
 FIXED_K = 10
+PER_DIRECTORY = 200  # points, few enough that these tables have many directories to prune
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def _scratch(spark: SparkSession) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, dims: int = 2) -> SegmentTable:
-    return SegmentTable.write(points(spark, sf_dir), _scratch(spark), bits=4 if dims == 2 else 3, dims=dims)
+    return SegmentTable.write(points(spark, sf_dir), _scratch(spark), bits=4 if dims == 2 else 3, dims=dims, per_directory=PER_DIRECTORY)
 
 
 def r6(c: str | F.Column) -> F.Column:
