@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import between, distance, ordinate
 from ..functions.hilbert import with_number
 from ..schema import Grid
-from .assemble import ORDER, edges, with_cells
+from .assemble import ORDER, with_cells
 
 
 def _points(*more: str) -> Column:
@@ -64,10 +64,12 @@ def sub_edges(points: DataFrame, grid: Grid) -> DataFrame:
 
     A lone point is one part of length 0."""
     axes = grid.axes()
-    rows = edges(points)
-    alone = points.join(rows.select(F.col("object_id").alias("_id")).distinct(), F.col("object_id") == F.col("_id"), "left_anti")
-    alone = alone.select("object_id", F.lit(0).alias("seq"), *[F.col(c).alias(f"{c}{i}") for i in (0, 1) for c in ORDER], F.lit(True).alias("alone"))
-    rows = rows.withColumn("alone", F.lit(False)).unionByName(alone)
+    w = Window.partitionBy("object_id").orderBy(*ORDER)
+    nexts = [F.lead(c).over(w).alias(f"{c}1") for c in ORDER]
+    rows = points.select("object_id", (F.row_number().over(w) - 1).alias("seq"), *[F.col(c).alias(f"{c}0") for c in ORDER], *nexts)
+    # a lone point is the first of its object and the last
+    rows = rows.withColumn("alone", F.col("t1").isNull() & (F.col("seq") == 0)).where("t1 is not null or alone")
+    rows = rows.withColumns({f"{c}1": F.coalesce(f"{c}1", f"{c}0") for c in ORDER})
     cuts = F.array(F.lit(0.0), F.lit(1.0))
     for i, (name, low, high) in enumerate(axes):
         a, b = F.col(f"{name}0").cast("double"), F.col(f"{name}1").cast("double")
