@@ -138,8 +138,7 @@ class SegmentTable:
     def range(self, box: Box) -> DataFrame:
         """Clipped parts of edges in the box: object_id, seg_no, seq and ends.
 
-        In inner cells only time is left to test (nothing, in three dimensions);
-        both kinds are read by one scan, with the whole test where it is due."""
+        Border and inner cells are read by one scan and clipped alike."""
         cells = self.box_cells(box)
         rows = self._in_cells(self.segments, None if cells is None else cells[0] + cells[1])
         for c, (lo, hi) in {"x": (box.x0, box.x1), "y": (box.y0, box.y1), "t": (box.t0, box.t1)}.items():
