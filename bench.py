@@ -10,12 +10,16 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import sys
 import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 
+PER_DIRECTORY = 5_000  # points on average, so that the index has directories to prune at this size
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus, runs = os.environ.get("BENCH_CPUS", "8"), int(os.environ.get("BENCH_RUNS", "2"))
@@ -33,7 +37,8 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
 
     from wayline import queries as q
-    from wayline.operators import assemble, similar
+    from wayline.operators import assemble, range as ranges, similar
+    from wayline.plans.metrics import measure
     from wayline.plans.table import SegmentTable
 
     def timed(run) -> float:
@@ -54,7 +59,7 @@ def main() -> None:
         for name in names:
             out[name] = timed(lambda name=name: drain(q.queries()[name](spark, sf_dir)))
         began = time.perf_counter()
-        table = SegmentTable.write(q.points(spark, sf_dir), f"file://{shared}/table", bits=4, dims=2)
+        table = SegmentTable.write(q.points(spark, sf_dir), f"file://{shared}/table", bits=4, dims=2, per_directory=PER_DIRECTORY)
         out["table_write"] = round(time.perf_counter() - began, 3)
         query = similar.query_points(table.trajectories, q.QUERY_USER)
         whole = assemble.trajectories(q.points(spark, sf_dir))
@@ -63,6 +68,8 @@ def main() -> None:
         out["indexed_frechet"] = timed(lambda: drain(table.similar(query, q.EPS)))
         out["indexed_knn"] = timed(lambda: drain(table.nearest(query, q.K)))
         out["unindexed_frechet"] = timed(lambda: drain(similar.within(whole, query, q.EPS, prune=False)))
+        cost = {"range": measure(table.range(q.BOX)), "unindexed_range": measure(ranges.clipped(q.points(spark, sf_dir), q.BOX)), "points": measure(table.points(q.BOX)), "frechet": measure(table.similar(query, q.EPS)), "unindexed_frechet": measure(similar.within(table.trajectories, query, q.EPS, prune=False))}
+        print(json.dumps({"scans": {k: v.as_dict() for k, v in cost.items()}, "segments": table.segments.count()}), file=sys.stderr)
         print(json.dumps({"metric": "headline_total", "value": round(sum(out.values()), 3), "unit": "sec", "queries": out, "sf": os.path.basename(sf_dir.rstrip("/"))}))
     finally:
         spark.stop()

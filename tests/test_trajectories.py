@@ -243,3 +243,80 @@ def test_similar_window(pts, table):
     whole = assemble.trajectories(pts)
     query = similar.query_points(whole, "o2")
     assert table.similar(query, 0.0, window=(0, 10**9)).count() == 1 and table.similar(query, 0.0, window=(2000, 10**9)).count() == 0
+
+
+def test_nearest_in_a_window_and_from_afar(pts, table):
+    whole = assemble.trajectories(pts)
+    query = similar.query_points(whole, "o3")
+    for asked, window in ((query, (0, 35_000)), (query + 500.0, None)):
+        rows = whole.where(f"min_t >= {window[0]} and max_t <= {window[1]}") if window else whole
+        brute = [tuple(r) for r in similar.nearest_brute(rows, asked, 3).collect()]
+        assert [tuple(r) for r in table.nearest(asked, 3, window).collect()] == brute
+
+
+@pytest.mark.parametrize("eps", [0.0, 3.0, 40.0])
+def test_similar_batch_on_the_table(pts, table, eps):
+    whole = assemble.trajectories(pts)
+    asked = whole.where("object_id in ('o1', 'o4', 'lone')").select(F.col("object_id").alias("qid"), "pts")
+    got = {(r["qid"], r["object_id"], round(r["score"], 9)) for r in table.similar_batch(asked, eps).collect()}
+    want = {(q, r["object_id"], round(r["score"], 9)) for q in ("o1", "o4", "lone") for r in similar.within(whole, similar.query_points(whole, q), eps, prune=False).collect()}
+    assert got == want
+
+
+def test_cells_near_edges_hold_those_near_points(table):
+    query = np.array([(-11.0, -11.0), (-4.0, -3.0), (-4.0, -3.0)])
+    points, edges = set(table.near_cells(query, 0.5)), set(table.near_cells(query, 0.5, edges=True))
+    assert points <= edges and len(edges) > len(points)
+
+
+def test_cover_keeps_what_points_keep(pts, table):
+    query = np.cumsum(np.random.default_rng(3).normal(size=(300, 2)), 0) - 7.0
+    whole = assemble.trajectories(pts)
+    want = {r["object_id"]: r["score"] for r in similar.nearest_brute(whole, query, 4).collect()}
+    assert {r["object_id"]: r["score"] for r in table.nearest(query, 4).collect()} == want
+    assert {r["object_id"]: r["score"] for r in similar.nearest(whole, query, 4).collect()} == want
+
+
+def test_metrics(table):
+    from wayline.plans.metrics import measure
+
+    some, all_ = measure(table.points(BOXES[3])), measure(table.points(BOXES[1]))
+    assert some.rows == table.points(BOXES[3]).count() and some.scans == 1
+    assert 0 < some.files < all_.files and some.rows_scanned < all_.rows_scanned and all_.rows == 6 * 40 + 4
+
+
+def test_links(pts):
+    parts = segment.by_cell(pts, assemble.grid_of(pts, 3, 2))
+    assert segment.unlinked(parts).count() == 0
+    gone = parts.where("not (object_id = 'o1' and seg_no = 2)")
+    assert [tuple(r) for r in segment.unlinked(gone).collect()] == [("o1", 3)]
+    whole = {r["object_id"] for r in segment.complete_by_number(gone).collect()}
+    assert whole == {r["object_id"] for r in parts.select("object_id").distinct().collect()} - {"o1"}
+
+
+def test_well_known_binary(spark):
+    df = spark.createDataFrame([("a", [(5, 1.5, -0.0), (7, 1e-310, 3.25)]), ("b", []), ("c", None)], "object_id string, pts array<struct<t:bigint,x:double,y:double>>")
+    got = {r["object_id"]: r["wkb"] for r in tools.with_wkb(df).collect()}
+    assert bytes(got["a"]) == tools.line_to_wkb([(1.5, -0.0, 5.0), (1e-310, 3.25, 7.0)]) and tools.line_from_wkb(bytes(got["b"])) == [] and got["c"] is None
+
+
+def test_settings(spark, tmp_path):
+    from wayline.settings import Settings
+
+    (tmp_path / "s.conf").write_text('# a run\nindex {\n  bits = 4\n  path: "hdfs:///a b"\n}\nbox { \n x0 = 1\n y0 = 2.5\n t0 = 3\n x1 = 4\n y1 = 5\n t1 = 6\n}\nclip = true // yes\n')
+    s = Settings.load(spark, str(tmp_path / "s.conf"))
+    assert s.integer("index.bits") == 4 and s.text("index.path") == "hdfs:///a b" and s.flag("clip") and s.number("eps", 0.5) == 0.5
+    assert s.box("box") == Box(1.0, 2.5, 3, 4.0, 5.0, 6)
+    for bad in ("a {", "}", "alone"):
+        with pytest.raises(ValueError):
+            Settings.parse(bad)
+    with pytest.raises(KeyError):
+        s.text("none")
+
+
+@pytest.mark.parametrize("box", BOXES)
+def test_unclipped_layout(pts, box, tmp_path):
+    from wayline.plans.table import range_unclipped, write_unclipped
+
+    t = write_unclipped(pts, str(tmp_path / "u"), bits=2)
+    assert length(range_unclipped(t, box)) == pytest.approx(length(ranges.clipped(pts, box)), abs=1e-3)

@@ -46,11 +46,17 @@ def _box_columns(box: Box) -> dict[str, Column]:
     return {k: F.lit(getattr(box, k)) for k in ("x0", "y0", "t0", "x1", "y1", "t1")}
 
 
-def clip_edges(rows: DataFrame, box: dict[str, Column], rounded: bool = False, keys: tuple[str, ...] = ("object_id",)) -> DataFrame:
-    """The parts of edges in a box: keys, seq, u1, u2 and the part's ends (t_in, x_in, y_in, t_out, x_out, y_out)."""
+def clip_edges(rows: DataFrame, box: dict[str, Column], rounded: bool = False, keys: tuple[str, ...] = ("object_id",), inner: str | None = None) -> DataFrame:
+    """The parts of edges in a box: keys, seq, u1, u2 and the part's ends (t_in, x_in, y_in, t_out, x_out, y_out).
+
+    ``inner`` names a boolean column: true for edges known to lie inside, which pass whole and untested."""
     start, end = ([F.col(f"{c}{i}") for c in ("x", "y", "t")] for i in (0, 1))
     hit, u1, u2 = clip(start, end, [box[f"{c}0"] for c in ("x", "y", "t")], [box[f"{c}1"] for c in ("x", "y", "t")])
-    met = rows.where(_meets(box)).withColumns({"hit": hit, "u1": u1, "u2": u2}).where("hit")
+    meets = _meets(box)
+    if inner:
+        meets, hit = F.when(F.col(inner), True).otherwise(meets), F.when(F.col(inner), True).otherwise(hit)
+        u1, u2 = F.when(F.col(inner), 0.0).otherwise(u1), F.when(F.col(inner), 1.0).otherwise(u2)
+    met = rows.where(meets).withColumns({"hit": hit, "u1": u1, "u2": u2}).where("hit")
     ends = [between(F.col(f"{c}0"), F.col(f"{c}1"), F.col(u), whole=c == "t", rounded=rounded).alias(f"{c}_{name}") for name, u in (("in", "u1"), ("out", "u2")) for c in ORDER]
     return met.select(*keys, "seq", "u1", "u2", *ends)
 

@@ -138,6 +138,22 @@ def with_pivots(segments: DataFrame) -> DataFrame:
     return rows.withColumn("pivots", F.when(F.size("real") > 0, pivots)).drop("p1", "p2", "p3")
 
 
+def complete_by_number(pieces: DataFrame) -> DataFrame:
+    """Objects of which all segments are in ``pieces`` (object_id, seg_no, is_last): the numbers from 1 to the last one's."""
+    seen = pieces.groupBy("object_id").agg(F.countDistinct("seg_no").alias("n_segments"), F.max(F.when(F.col("is_last"), F.col("seg_no"))).cast("bigint").alias("last"))
+    return seen.where("n_segments = last").select("object_id", "n_segments")
+
+
+def unlinked(segments: DataFrame) -> DataFrame:
+    """Joints at which a trajectory's segments (object_id, seg_no, pts) do not fit: a number is missing, or one does not begin where the one before ends. object_id, seg_no of the later one."""
+    w = Window.partitionBy("object_id").orderBy("seg_no")
+    first, last = F.element_at("pts", 1), F.element_at("pts", -1)
+    ends = segments.select("object_id", "seg_no", *[first[c].alias(f"{c}0") for c in ORDER], *[last[c].alias(f"{c}1") for c in ORDER])
+    before = ends.withColumns({"n": F.lag("seg_no").over(w)} | {f"{c}b": F.lag(f"{c}1").over(w) for c in ORDER})
+    fits = (F.col("seg_no") == F.coalesce("n", F.lit(0)) + 1) & (F.col("n").isNull() | ((F.col("t0") == F.col("tb")) & (F.col("x0") == F.col("xb")) & (F.col("y0") == F.col("yb"))))
+    return before.where(~fits).select("object_id", "seg_no")
+
+
 def complete(pieces: DataFrame) -> DataFrame:
     """Objects of which all real points are in ``pieces`` (object_id, first_pos, last_pos, n_total)."""
     seen = pieces.where("first_pos is not null").groupBy("object_id").agg(F.sum(F.col("last_pos") - F.col("first_pos") + 1).alias("n_seen"), F.max("n_total").alias("n_total"), F.count(F.lit(1)).alias("n_segments"))

@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import distance, point_to_rectangle
+from ..functions.geometry import distance, rectangle_to_rectangle
 from ..schema import POINTS
 from ..ship import ship
 
 Point = tuple[float, float]
+MAX_COVER = 64  # boxes that stand for a query's points in a plan
 
 
 def frechet(a: np.ndarray, b: np.ndarray, stop: float = np.inf) -> float:
@@ -82,10 +83,23 @@ def _ends_near(query: np.ndarray, eps: float) -> Column:
     return (distance(a["x"], a["y"], *map(float, query[0])) <= eps) & (distance(b["x"], b["y"], *map(float, query[-1])) <= eps)
 
 
+def cover(query: np.ndarray) -> Column:
+    """The query as an array of at most ``MAX_COVER`` boxes of consecutive points, so that a plan's size does not grow with it.
+
+    What is within eps of a point is within eps of its box: tests on boxes may keep more than tests on points, never less. Short queries have a box a point."""
+    runs = [r for r in np.array_split(query, min(len(query), MAX_COVER)) if len(r)]
+    sides = ("x0", "y0", "x1", "y1")
+    return F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(sides, (*r.min(0), *r.max(0)), strict=True)]) for r in runs])
+
+
+def to_box(q: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The distance of a box of ``cover`` to a rectangle."""
+    return rectangle_to_rectangle(q["x0"], q["y0"], q["x1"], q["y1"], x0, y0, x1, y1)
+
+
 def lower_bound(query: np.ndarray) -> Column:
     """No trajectory is nearer than: every query point must come near the bounding box. Uses only plain columns."""
-    asked = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in query])
-    return F.array_max(F.transform(asked, lambda q: point_to_rectangle(q["x"], q["y"], F.col("min_x"), F.col("min_y"), F.col("max_x"), F.col("max_y"))))
+    return F.array_max(F.transform(cover(query), lambda q: to_box(q, F.col("min_x"), F.col("min_y"), F.col("max_x"), F.col("max_y"))))
 
 
 def within(trajectories: DataFrame, query: np.ndarray, eps: float, prune: bool = True, window: tuple[int, int] | None = None) -> DataFrame:
@@ -129,7 +143,9 @@ def nearest(trajectories: DataFrame, query: np.ndarray, k: int) -> DataFrame:
     a, b = _first_last(F.col("pts"))
     ends = F.greatest(distance(a["x"], a["y"], *map(float, query[0])), distance(b["x"], b["y"], *map(float, query[-1])))
     bounded = trajectories.withColumn("bound", F.greatest(lower_bound(query), ends)).withColumn("qid", F.lit(0))
-    seeds = bounded.orderBy("bound", "object_id").limit(4 * k)
+    # ids alone are sorted; points are read for those chosen
+    seeds = bounded.select(F.col("object_id").alias("_id"), "bound").orderBy("bound", "_id").limit(4 * k)
+    seeds = bounded.join(F.broadcast(seeds.select("_id")), F.col("object_id") == F.col("_id"), "left_semi")
     radius = score(seeds, {0: query}).agg(F.sort_array(F.collect_list("score")).alias("s")).select(F.try_element_at("s", F.lit(k)).alias("r")).first()["r"]
     near = bounded if radius is None else bounded.where(F.col("bound") <= radius)
     return score(near, {0: query}, np.inf if radius is None else radius).select("object_id", "score").orderBy("score", "object_id").limit(k)

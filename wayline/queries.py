@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as g
 from .operators import assemble, range as ranges, segment, similar, tools
-from .plans.table import PointTable, SegmentTable, write_flat
+from .plans.table import PointTable, SegmentTable, range_unclipped, write_flat, write_unclipped
+from .sources.points import parse_trajectory
 from .schema import Box, Grid
 
 BOX = Box(2.25, 0.25, 1704700000000, 6.75, 7.5, 1705600000000)
@@ -24,6 +25,9 @@ GRID2 = Grid(4, 2, 0.0, 0.0, 1704067200000, 16.0, 16.0, 1706745600000)
 GRID3 = Grid(3, 3, 0.0, 0.0, 1704067200000, 16.0, 16.0, 1706745600000)
 QUERY_USER, K, EPS = 8, 5, 1.5
 FIXED_K = 10
+WINDOW = (1704067200000, 1706400000000)  # a time range that holds some objects whole
+LEFT_OF = 9.0
+N_BOXES, BOX_SIDE, BOX_MILLIS, N_EXPORTED, SEED = 20, 0.5, 350_000_000, 5, 1
 PER_DIRECTORY = 200  # points, few enough that these tables have many directories to prune
 
 
@@ -195,7 +199,7 @@ def range_points_curve(s, d):
 
 
 def segments_flat(s, d):
-    flat = write_flat(points(s, d), _scratch(s))
+    flat = write_flat(points(s, d), _scratch(s), grid=GRID2)
     boxed = [F.col(f"mbr_{n}_{c}").alias(f"{n}_{c}") for c in ("x", "y", "t") for n in ("min", "max")]
     return ranges.overlapping(flat.select("object_id", "first_pos", *boxed), BOX).where("first_pos is not null").groupBy("object_id").agg(F.min("first_pos").alias("first_pos"))
 
@@ -256,6 +260,33 @@ def frechet_batch(s, d):
     return _scored(similar.within_batch(t, asked, EPS, 0.5))
 
 
+def frechet_threshold_edges(s, d):
+    """Cells by the query's edges, segments by their boxes."""
+    t = _table(s, d)
+    return _scored(t.similar(similar.query_points(t.trajectories, QUERY_USER), EPS, "mbr", edges=True))
+
+
+def frechet_batch_indexed(s, d):
+    t = _table(s, d)
+    asked = t.trajectories.where(F.col("object_id").isin(1, 2, 8)).select(F.col("object_id").alias("qid"), "pts")
+    return _scored(t.similar_batch(asked, EPS))
+
+
+def knn_window(s, d):
+    t = _table(s, d, 3)
+    return _scored(t.nearest(similar.query_points(t.trajectories, QUERY_USER), K, WINDOW))
+
+
+def range_unclipped_layout(s, d):
+    return _range_total(range_unclipped(write_unclipped(points(s, d), _scratch(s)), BOX)).where("length > 0")
+
+
+def number_completeness(s, d):
+    """Objects all of whose segments lie left of a line, by segment number."""
+    left = segment.clipped(points(s, d), GRID2).where(F.col("mbr_max_x") <= LEFT_OF)
+    return segment.complete_by_number(left.select("object_id", "seg_no", "is_last"))
+
+
 def knn_brute(s, d):
     t = assemble.trajectories(points(s, d))
     return _scored(similar.nearest_brute(t, similar.query_points(t, QUERY_USER), K))
@@ -267,11 +298,20 @@ def knn_pruned(s, d):
 
 
 def query_generator(s, d):
-    return tools.random_boxes(s, assemble.grid_of(points(s, d), 4, 2), 20, 0.5, 0.5, 350_000_000)
+    boxes = tools.random_boxes(s, assemble.grid_of(points(s, d), 4, 2), N_BOXES, BOX_SIDE, BOX_SIDE, BOX_MILLIS, SEED)
+    return boxes.select("qid", "t0", "t1", *[r6(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 def export_trajectories(s, d):
-    return tools.sample_trajectories(assemble.trajectories(points(s, d)), 5)
+    """The exported lines, read back."""
+    lines = tools.sample_trajectories(assemble.trajectories(points(s, d)), N_EXPORTED, SEED)
+    back = lines.select("object_id", parse_trajectory(F.col("line")).alias("pts"))
+    total = {f"sum_{c}": F.round(F.aggregate(F.transform("pts", segment.field(c)), F.lit(0.0), lambda a, v: a + v), 4) for c in "xy"}
+    return back.withColumns(total).select("object_id", F.size("pts").cast("bigint").alias("n_points"), F.element_at("pts", -1)["t"].alias("last_t"), *total)
+
+
+def export_wkb(s, d):
+    return tools.with_wkb(assemble.trajectories(points(s, d))).select("object_id", F.octet_length("wkb").cast("bigint").alias("n_bytes"))
 
 
 _NAMED = [
@@ -279,7 +319,8 @@ _NAMED = [
     segment_by_cell, segment_fixed_k, segment_clip_2d, segment_clip_3d, segment_pivots, interval_completeness, mbr_overlap, range_points,
     range_points_runs, range_clip, range_clip_concat, range_whole_edge, range_mbr_only, range_indexed, range_indexed_3d, range_points_indexed,
     range_batch, range_batch_indexed, range_points_curve, segments_flat, rect_count, dist_point_rect, minmaxdist_point_rect, dist_segment_rect, rect_rect_dist, line_intersection, edge_box_test,
-    frechet_threshold, frechet_threshold_pruned, frechet_batch, knn_brute, knn_pruned, query_generator, export_trajectories,
+    frechet_threshold, frechet_threshold_pruned, frechet_threshold_edges, frechet_batch, frechet_batch_indexed, knn_brute, knn_pruned, knn_window,
+    range_unclipped_layout, number_completeness, query_generator, export_trajectories, export_wkb,
 ]
 
 
@@ -360,7 +401,7 @@ s4 AS (SELECT *, CAST(1 + sum(new) OVER (PARTITION BY object_id ORDER BY seq, su
 s5 AS (SELECT *, max(seg_no) OVER (PARTITION BY object_id) = seg_no AS is_last, lead(seg_no) OVER (PARTITION BY object_id ORDER BY seq, sub) IS DISTINCT FROM seg_no AS ends FROM s4),
 r AS (SELECT object_id, seg_no, seq + 1 AS pos, t{'a'} AS t, xa AS x, ya AS y FROM s5 WHERE u0 = 0
       UNION SELECT object_id, seg_no, seq + 2 AS pos, tb, xb, yb FROM s5 JOIN tot USING (object_id) WHERE u1 = 1 AND n_total > 1 AND (NOT ends OR is_last)),
-box AS (SELECT object_id, seg_no, is_last, {', '.join(f'any_value({n}) AS {n}' for n in names)}, min(least(ta, tb)) AS mbr_min_t, max(greatest(ta, tb)) AS mbr_max_t, min(least(xa, xb)) AS mbr_min_x, max(greatest(ya, yb)) AS mbr_max_y FROM s5 GROUP BY object_id, seg_no, is_last),
+box AS (SELECT object_id, seg_no, is_last, {', '.join(f'any_value({n}) AS {n}' for n in names)}, min(least(ta, tb)) AS mbr_min_t, max(greatest(ta, tb)) AS mbr_max_t, min(least(xa, xb)) AS mbr_min_x, max(greatest(xa, xb)) AS mbr_max_x, min(least(ya, yb)) AS mbr_min_y, max(greatest(ya, yb)) AS mbr_max_y FROM s5 GROUP BY object_id, seg_no, is_last),
 rr AS (SELECT object_id, seg_no, CAST(count(*) AS INTEGER) AS n_real, min(pos) AS first_pos, max(pos) AS last_pos FROM r GROUP BY object_id, seg_no)"""
 
 
@@ -431,6 +472,8 @@ s AS (SELECT object_id, pos, t, x, y, CAST(greatest(1, (pos - 2) // {FIXED_K} +
     knn = f"WITH {_frechet(str(QUERY_USER))} SELECT object_id, round(score, 6) AS score FROM fr ORDER BY fr.score, object_id LIMIT {K}"
     near = f"WITH {_frechet(str(QUERY_USER))} SELECT object_id, round(score, 6) AS score FROM fr WHERE fr.score <= {EPS}"
     in_range = f"WITH {P} SELECT object_id, t, round(x, 6) AS x, round(y, 6) AS y FROM p WHERE {inside}"
+    mbr = " AND ".join(f"mbr_max_{c} >= {getattr(B, c + '0')!r} AND mbr_min_{c} <= {getattr(B, c + '1')!r}" for c in "xyt")
+    share = {c: f"(CAST('0x' || substr(md5('{SEED}:{c}:' || qid), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)" for c in "xyt"}
     pd2 = "((r.x - {x}) * (r.x - {x}) + (r.y - {y}) * (r.y - {y}))"
     return {
         "traj_points": f"WITH {P} SELECT object_id, t, round(x, 6) AS x, round(y, 6) AS y FROM p",
@@ -485,6 +528,17 @@ SELECT object_id, piece, count(*) + 1 AS n_points, min(t_in) AS first_t, max(t_o
         "frechet_threshold": near,
         "frechet_threshold_pruned": near,
         "frechet_batch": f"WITH {_frechet('1, 2, 8')} SELECT qid, object_id, round(score, 6) AS score FROM fr WHERE fr.score <= {EPS}",
+        "frechet_threshold_edges": near,
+        "frechet_batch_indexed": f"WITH {_frechet('1, 2, 8')} SELECT qid, object_id, round(score, 6) AS score FROM fr WHERE fr.score <= {EPS}",
+        "knn_window": f"WITH {_frechet(str(QUERY_USER))}, w AS (SELECT object_id FROM p GROUP BY object_id HAVING min(t) >= {WINDOW[0]} AND max(t) <= {WINDOW[1]}) SELECT object_id, round(score, 6) AS score FROM fr JOIN w USING (object_id) ORDER BY fr.score, object_id LIMIT {K}",
+        "range_unclipped_layout": total,
+        "number_completeness": f"WITH {_segments_sql(GRID2)} SELECT object_id, count(*) AS n_segments FROM box GROUP BY object_id HAVING max(mbr_max_x) <= {LEFT_OF}",
+        "segments_flat": f"WITH {_segments_sql(GRID2)} SELECT object_id, min(first_pos) AS first_pos FROM box JOIN rr USING (object_id, seg_no) WHERE {mbr} GROUP BY object_id",
+        "query_generator": f"""WITH {P}, b AS (SELECT min(x) AS gx0, max(x) + 1e-7 AS gx1, min(y) AS gy0, max(y) + 1e-7 AS gy1, min(t) AS gt0, max(t) + 1000 AS gt1 FROM p),
+r AS (SELECT CAST(i AS INTEGER) AS qid, gx0 + {share['x']} * (gx1 - least({BOX_SIDE}, gx1 - gx0) - gx0) AS x0, gy0 + {share['y']} * (gy1 - least({BOX_SIDE}, gy1 - gy0) - gy0) AS y0, gt0 + CAST(floor({share['t']} * (gt1 - least({BOX_MILLIS}, gt1 - gt0) - gt0)) AS BIGINT) AS t0, b.* FROM b, (SELECT i, i AS qid FROM range({N_BOXES}) x(i)))
+SELECT qid, t0, t0 + least({BOX_MILLIS}, gt1 - gt0) AS t1, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x0 + least({BOX_SIDE}, gx1 - gx0), 6) AS x1, round(y0 + least({BOX_SIDE}, gy1 - gy0), 6) AS y1 FROM r""",
+        "export_trajectories": f"WITH {P}, c AS (SELECT DISTINCT object_id FROM p ORDER BY md5('{SEED}:' || object_id), object_id LIMIT {N_EXPORTED}) SELECT object_id, count(*) AS n_points, max(t) AS last_t, round(sum(x), 4) AS sum_x, round(sum(y), 4) AS sum_y FROM p JOIN c USING (object_id) GROUP BY object_id",
+        "export_wkb": f"WITH {P} SELECT object_id, 9 + 24 * count(*) AS n_bytes FROM p GROUP BY object_id",
         "knn_brute": knn,
         "knn_pruned": knn,
     }
