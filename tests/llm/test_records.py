@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import math
 import random
@@ -354,6 +355,34 @@ def test_arc(version):
     assert header[0]["warc-type"] == "revisit" and header[0]["warc-refers-to"] == warc.record_id("page:3") and header[1].endswith(b"\r\n\r\n")
 
 
+def test_stored_arc_files(spark, tmp_path):
+    """Both versions, plain and compressed, dates of every length, to WARC and back."""
+    made = {}
+    for v, when in ((1, "20080430204825"), (2, "1999")):
+        docs = [f"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody {v} {i}\n".encode() for i in range(30)] + [b"", b"plain", b"plain"]
+        made[v] = [(f"http://e/{v}/{i}", when, "text/html", d) for i, d in enumerate(docs)]
+        data = warc.arc_bytes(f"a{v}.arc", v, made[v])
+        (tmp_path / f"a{v}.arc").write_bytes(gzip.compress(data[:300]) + gzip.compress(data[300:]) if v == 2 else data)
+    got = {(r["url"], r["date"], bytes(r["document"])) for r in warc.read_arc(spark, f"{tmp_path}/*.arc").collect()}
+    iso = {1: "2008-04-30T20:48:25Z", 2: "1999-01-01T00:00:00Z"}
+    assert got == {(u, iso[v], d) for v, rows in made.items() for u, _, _, d in rows}
+    warc.convert_archives(spark, f"{tmp_path}/*.arc", f"{tmp_path}/warc", records_per_file=7)
+    back = warc.read(spark, f"{tmp_path}/warc").collect()
+    want = Counter((u, iso[v], len(warc.payload_of(d)[1]), warc.base32_sha1(warc.payload_of(d)[1]), "response" if d.startswith(b"HTTP") else "resource") for v, rows in made.items() for u, _, _, d in rows)
+    assert Counter((r["url"], r["date"], r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in back) == want
+    assert len(list((tmp_path / "warc").glob("part-*"))) > 8
+
+
+def test_archives_are_bounded_by_bytes(spark, monkeypatch):
+    assert warc.records_per_file(0) == warc.RECORDS_PER_FILE and warc.records_per_file(1 << 40) == 1
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 100_000)
+    rows = [(i, f"http://e/{i}", f"{i} " + "long " * 8000) for i in range(9)]
+    path = warc.fresh_path(spark, "warc")
+    warc.write(pages(spark, rows), path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("length").collect()
+    assert len(files) >= 5 and max(f["length"] for f in files) <= 100_000 and warc.read(spark, path).count() == 9
+
+
 # ------------------------------------------------------------------- top-k
 
 

@@ -85,6 +85,47 @@ def test_scores_do_not_depend_on_batching():
     assert np.allclose(net.texts(texts), alone, atol=1e-4)
 
 
+def plain_logit(net, v, text):
+    """One text's score by loops: a cell at a time, attention by a plain softmax, the largest window."""
+    h, sigmoid = toxicity.HIDDEN, lambda x: 1 / (1 + np.exp(-x))
+    places = list(range(v.first[text], v.first[text + 1]))
+    starts = [0]
+    while starts[-1] + toxicity.WINDOW < len(places):
+        starts.append(min(starts[-1] + toxicity.STEP, len(places) - toxicity.WINDOW))
+    best = -np.inf
+    for start in starts:
+        x = []
+        for p in places[start : start + toxicity.WINDOW]:
+            w = v.which[p]
+            rows = v.grams[v.cuts[w] : v.cuts[w + 1]]
+            x.append(np.concatenate([net.word[v.word[w]], np.mean([net.char[r] for r in rows], 0), [max(net.gram_excess[r] for r in rows)]]).astype(float))
+        sides = []
+        for d, order in ((0, x), (1, x[::-1])):
+            state, states = np.zeros(h), []
+            for at in order:
+                z, r = at @ net.w[:, 3 * h * d : 3 * h * (d + 1)] + net.b[3 * h * d : 3 * h * (d + 1)], state @ net.u[d]
+                update, reset = sigmoid(z[:h] + r[:h]), sigmoid(z[h : 2 * h] + r[h : 2 * h])
+                candidate = np.tanh(z[2 * h :] + reset * r[2 * h :])
+                state = update * state + (1 - update) * candidate
+                states.append(state)
+            sides.append(states[::-1] if d else states)
+        pooled = np.zeros(2 * h)
+        if x:
+            both = np.array([np.concatenate(s) for s in zip(*sides, strict=True)])
+            weight = np.exp(both @ net.attend)
+            pooled = weight @ both / weight.sum()
+        best = max(best, float(pooled @ net.out + net.bias[0]))
+    return best
+
+
+def test_scores_equal_plain_loops():
+    rows = toxic_rows(40)
+    net = toxicity.fit([t.encode() for _, t, _ in rows], np.array([y for *_, y in rows]))
+    texts = [t.encode() for _, t, _ in rows[:15]] + [b"", b"one", b" ".join(b"blorf %d" % i for i in range(60))]
+    v = net.index(toxicity.vocabulary(texts))
+    assert np.allclose(net.texts(texts), [plain_logit(net, v, i) for i in range(len(texts))], atol=1e-3)
+
+
 def test_toxicity(spark, docs, empty):
     rows = toxic_rows()
     table = as_table(spark, [(i, t) for i, t, _ in rows])

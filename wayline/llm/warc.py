@@ -11,7 +11,12 @@ others become revisits of it, without payload but with its HTTP header. Which
 payloads repeat is found as in ``exact_dedup``: only pages that a Bloom filter
 can't clear shuffle. Archives are text files whose separator is the end of a
 WARC record, so Spark's own writer commits them, to any store; bytes pass
-unchanged. ``read`` parses such files by their declared lengths.
+unchanged. ``read`` parses such files by their declared lengths. An archive
+holds at most RECORDS_PER_FILE records, and fewer where the longest page could
+make that many exceed ARCHIVE_BYTES; files of 2 GB or more can't be read back.
+
+``read_arc`` reads stored ARC files, plain or compressed record by record, and
+``convert_archives`` writes them as WARC: dates come from their header lines.
 
 Edge cases: a null payload is empty. A null address is ``about:blank``; white
 space and control characters in addresses are percent-encoded. Null ids count
@@ -23,6 +28,7 @@ Other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -37,6 +43,7 @@ from .common import attach, fresh_path, materialize
 from .exact_dedup import filter_bits, maybe_repeated, repeated_cells
 
 RECORDS_PER_FILE = 4000
+ARCHIVE_BYTES = 1 << 29
 BATCH_BYTES = 4 << 20
 # The field lines of the two versions of the ARC format; fixed values.
 ARC_FIELDS = {
@@ -124,15 +131,20 @@ def page_key(page_id: int | None) -> str:
     return f"page:{page_id}"
 
 
-def convert(arc: dict, page_id: int | None, response_of: int | None) -> bytes:
-    """The WARC record, without the two empty lines that end it. ``response_of``: the page whose response it revisits."""
+def capture_key(arc: dict) -> str:
+    """What names a record that no page id does: address, time and content."""
+    return f"capture:{arc['URL']} {arc['Archive-date']} {hashlib.sha1(arc['document']).hexdigest()}"
+
+
+def convert(arc: dict, page_id: int | None, response_of: int | None, key: str | None = None) -> bytes:
+    """The WARC record, without the two empty lines that end it. ``response_of``: the page whose response it revisits; ``key`` names the record instead of its page id."""
     header, payload = payload_of(arc["document"])
     revisit = response_of is not None
     block = header if revisit else arc["document"]
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response' if header else 'resource'}",
-        f"WARC-Record-ID: {record_id(page_key(page_id))}",
+        f"WARC-Record-ID: {record_id(key or page_key(page_id))}",
         f"WARC-Date: {iso_time(arc['Archive-date'])}",
         f"WARC-Target-URI: {arc['URL']}",
         f"WARC-IP-Address: {arc['IP-address']}",
@@ -187,11 +199,71 @@ def alternate(nth: int) -> int:
     return 1 + nth % 2
 
 
+def _stored(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int, dict]]:
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            data = content.as_buffer().to_pybytes()
+            if data.startswith(b"\x1f\x8b"):
+                data = gzip.decompress(data)
+            for nth, arc in enumerate(parse_arc(data)):
+                yield path, nth, arc
+
+
+def _in_batches(rows: Iterator[tuple], size_of, kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of about BATCH_BYTES, so that a large archive's are not held at once."""
+    held, out = 0, []
+    for row in rows:
+        out.append(row)
+        held += size_of(row)
+        if held >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
+            held, out = 0, []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+
+def _arc_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"path": pa.string(), "nth": pa.int64(), "url": pa.string(), "ip": pa.string(), "date": pa.string(), "content_type": pa.string(), "document": pa.binary(), "payload_digest": pa.string(), "record_id": pa.string()}
+    rows = ((path, nth, a["URL"], a["IP-address"], iso_time(a["Archive-date"]), a["Content-type"], a["document"], base32_sha1(payload_of(a["document"])[1]), record_id(capture_key(a))) for path, nth, a in _stored(batches))
+    return _in_batches(rows, lambda r: len(r[6]), kinds)
+
+
+def _arc_files(spark: SparkSession, path: str) -> DataFrame:
+    ship(spark)
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def read_arc(spark: SparkSession, path: str) -> DataFrame:
+    """The records of stored ARC files, of either version: path, nth (place in the file), url, ip, date (ISO), content_type, document, payload_digest (base32 SHA-1), record_id.
+
+    A file is a task; a malformed one is an error that says where. No files, no rows."""
+    return _arc_files(spark, path).mapInArrow(_arc_rows, "path string, nth bigint, url string, ip string, date string, content_type string, document binary, payload_digest string, record_id string")
+
+
+def _arc_to_warc(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = ((convert(a, None, None, capture_key(a)),) for _, _, a in _stored(batches))
+    return _in_batches(rows, lambda r: len(r[0]), {"record": pa.binary()})
+
+
+def convert_archives(spark: SparkSession, source: str, target: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+    """Writes a WARC record of every record of the ARC files under ``source``, equal ones too, to archives that ``read`` reads."""
+    records = _arc_files(spark, source).mapInArrow(_arc_to_warc, "record binary")
+    records.select(F.col("record").cast("string")).write.option("lineSep", _END.decode()).option("maxRecordsPerFile", records_per_file).text(target)
+
+
+def records_per_file(largest: int) -> int:
+    """As many records as fit an archive if all were as large."""
+    return max(1, min(RECORDS_PER_FILE, ARCHIVE_BYTES // max(largest, 1)))
+
+
 def write(pages: DataFrame, path: str, when: str = "20080430204825") -> None:
     """Writes a WARC record of each page (page_id, url, html) to the archives under ``path``."""
     ship(pages.sparkSession)
     payload = F.coalesce(pages["html"].cast("string"), F.lit(""))
-    rows = materialize(pages.select(pages["page_id"].cast("long").alias("page_id"), F.sha1(payload).alias("digest")).withColumn("h", F.xxhash64("digest")), "warc-digests")
+    # a record's length at most: headers, an address whose characters may all be encoded, and the payload
+    size = F.octet_length(payload) + 6 * F.coalesce(F.octet_length(pages["url"].cast("string")), F.lit(0)) + 2048
+    rows = materialize(pages.select(pages["page_id"].cast("long").alias("page_id"), F.sha1(payload).alias("digest"), size.cast("long").alias("size")).withColumn("h", F.xxhash64("digest")), "warc-digests")
+    largest = rows.agg(F.max("size").alias("m")).first()["m"] or 0
     n, bits = filter_bits(rows)
     filled = repeated_cells(rows, bits)
     some = maybe_repeated(rows, filled, bits).where("maybe")
@@ -202,7 +274,7 @@ def write(pages: DataFrame, path: str, when: str = "20080430204825") -> None:
     met = attach(tested.where("maybe").select("page_id", "url", "payload", "digest"), groups, "digest", "n", n, "page_id")
     revisits = met.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("response_of"))
     records = alone.unionByName(revisits).mapInArrow(_archive(alternate, when), "record binary")
-    records.select(F.col("record").cast("string")).write.option("lineSep", _END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records.select(F.col("record").cast("string")).write.option("lineSep", _END.decode()).option("maxRecordsPerFile", records_per_file(largest)).text(path)
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
