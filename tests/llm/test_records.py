@@ -10,6 +10,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayline.llm import mixing, packing, pii, topk, warc
+from wayline.llm.common import materialize
 from wayline.llm.queries import tokenizer_path
 
 from .conftest import as_table, awkward, prose
@@ -565,6 +567,29 @@ def test_mixing_odd_rows(spark, docs):
 # ---------------------------------------------------------------- pipeline
 
 
+def test_driver_returns_freed_memory(spark):
+    """After a written table the driver's JVM keeps little of the native memory that it has freed in pieces, between others still in use."""
+    import gc
+    import time
+
+    jvm = spark._jvm
+    rollup = Path("/proc", jvm.java.io.File("/proc/self").getCanonicalFile().getName(), "smaps_rollup")
+
+    def held() -> int:
+        return int(re.search(r"\nAnonymous:\s+(\d+)", rollup.read_text())[1]) // 1024
+
+    materialize(spark.range(3), "small")
+    buffers = [jvm.java.nio.ByteBuffer.allocateDirect(1 << 16) for _ in range(6000)]
+    del buffers[1::2], buffers[1::2], buffers[1::2], buffers[1::2]
+    for _ in range(3):
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(1)
+    before = held()
+    materialize(spark.range(3), "small")
+    assert len(buffers) == 375 and before - held() > 100
+
+
 def test_pipeline(spark, tmp_path, tokenizer):
     import corpus_pipeline
 
