@@ -76,8 +76,9 @@ def sub_edges(points: DataFrame, grid: Grid) -> DataFrame:
         ga, gb = ordinate(a, grid, i), ordinate(b, grid, i)
         lines = F.when(ga != gb, F.sequence(F.least(ga, gb) + 1, F.greatest(ga, gb))).otherwise(F.expr("cast(array() as array<int>)"))
         width = F.lit((high - low) / grid.parts)
-        cuts = F.concat(cuts, F.transform(lines, _share(a, b, low, width)))
-    rows = rows.withColumn("cuts", F.array_sort(F.array_distinct(F.filter(cuts, lambda u: (u >= 0) & (u <= 1)))))
+        # the ends are in already: an edge that leaves a line downwards crosses it at -0.0, which array_distinct tells from 0.0
+        cuts = F.concat(cuts, F.filter(F.transform(lines, _share(a, b, low, width)), lambda u: (u > 0) & (u < 1)))
+    rows = rows.withColumn("cuts", F.array_sort(F.array_distinct(cuts)))
     parts = rows.select("*", F.posexplode(F.arrays_zip(F.expr("slice(cuts, 1, size(cuts) - 1)").alias("u0"), F.expr("slice(cuts, 2, size(cuts) - 1)").alias("u1"))).alias("sub", "u"))
     parts = parts.select("object_id", "seq", "sub", "alone", "u.u0", "u.u1", *[f"{c}{i}" for i in (0, 1) for c in ORDER])
     middle = (F.col("u0") + F.col("u1")) / 2
