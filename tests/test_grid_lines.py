@@ -9,7 +9,7 @@ from wayline import queries as q
 START = 1704800000000
 # (user_id, event_id, value): object 3 touches the line x = 4 and goes back, 4 crosses others from x = 6 down, 15 and 25 start on lines, 7 is a lone point on one
 ROWS = [(3, 10, 50.0), (3, 107, 100.0), (3, 204, 50.0), (3, 87, 60.0), (4, 11, 120.0), (4, 12, 200.0), (4, 13, 50.0), (4, 14, 50.0), (15, 50, 100.0), (15, 51, 20.0), (15, 52, 100.0), (25, 53, 200.0), (25, 54, 100.0), (25, 55, 0.0), (7, 56, 200.0)]
-NAMES = ["interval_completeness", "number_completeness", "segment_clip_2d", "segment_clip_3d", "segment_pivots"]
+NAMES = ["interval_completeness", "number_completeness", "segment_clip_2d", "segment_clip_3d", "segment_pivots", "segments_flat"]
 
 
 @pytest.fixture(scope="module")
